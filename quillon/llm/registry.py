@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import orc_tokens, packing
+from . import minhash, oracles, orc_tokens, packing
 
 QUERIES = {
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
+    "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op9_orc_token_ids": orc_tokens.op9_orc_token_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_bbit_minhash": oracles.OP5,
+}
