@@ -25,3 +25,27 @@ member AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
 
 OP5 = f"""WITH RECURSIVE {near_duplicates()}
 SELECT m.doc_id, s.n AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM member m JOIN sizes s USING (doc_id)"""
+
+
+def benchmark_hits(docs: str = "documents") -> str:
+    """CTEs up to `hits` (doc_id, n_words, n_hit, ids) over a table of documents."""
+    split = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+dw AS (SELECT doc_id, {split} AS ws FROM {docs}),
+bw AS (SELECT item_id, {split} AS ws FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item_id, least(len(ws), 8) AS l, array_to_string(ws[i : i + least(len(ws), 8) - 1], ' ') AS k
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS i FROM bw WHERE len(ws) > 0)),
+doc_windows AS (
+    SELECT doc_id, i, l, array_to_string(ws[i : i + l - 1], ' ') AS k
+    FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM item_windows) WHERE len(ws) >= l)),
+found AS (SELECT doc_id, i, l, item_id FROM doc_windows JOIN item_windows USING (l, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM found GROUP BY doc_id),
+hits AS (
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(ids, []) AS ids
+    FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN ids USING (doc_id))"""
+
+
+OP10 = f"""WITH {benchmark_hits()}
+SELECT doc_id, n_words, n_hit, len(ids) AS n_items, sha256(array_to_string(ids, ',')) AS items_sha256, len(ids) >= 2 AS contaminated FROM hits"""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash, oracles, orc_tokens, packing
+from . import decontam, minhash, oracles, orc_tokens, packing
 
 QUERIES = {
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op9_orc_token_ids": orc_tokens.op9_orc_token_ids,
+    "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op5_bbit_minhash": oracles.OP5,
+    "op10_winnowing_decontamination": oracles.OP10,
 }
