@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, oracles, orc_tokens, packing, toxicity
+from . import decontam, minhash, oracles, orc_tokens, packing, pii, toxicity
 
 QUERIES = {
+    "op1_skip_chain_crf": pii.op1_skip_chain_crf,
     "op2_noisy_channel_toxicity": toxicity.op2_noisy_channel_toxicity,
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
