@@ -265,26 +265,28 @@ def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndar
     return w, float(b)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id and score of every row."""
+def score(docs: DataFrame, scorer: Scorer, into: str = "score") -> DataFrame:
+    """The rows of docs with the column `into`, which replaces one of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Features(scorer.model, scorer.index)
         for batch in batches:
             out = []
-            for text in batch.column(1):
+            for text in batch.column(batch.schema.get_field_index("text")):
                 if scorer.constant is not None:
                     out.append(scorer.constant)
                     continue
                 z = scorer.bias + sum(float(scorer.weights[f]) * math.log1p(n) for f, n in sorted(seen.of(text.as_py()).items()))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, into])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
+    docs = docs.drop(into)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, `{into}` double")
 
 
 def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from labelled ones outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
