@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, oracles, orc_tokens, packing, pii, toxicity
+from . import decontam, minhash, oracles, orc_tokens, packing, pii, tiff, toxicity
 
 QUERIES = {
     "op1_skip_chain_crf": pii.op1_skip_chain_crf,
     "op2_noisy_channel_toxicity": toxicity.op2_noisy_channel_toxicity,
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
+    "op4_tiff_pages": tiff.op4_tiff_pages,
     "op5_bbit_minhash": minhash.op5_bbit_minhash,
     "op9_orc_token_ids": orc_tokens.op9_orc_token_ids,
     "op10_winnowing_decontamination": decontam.op10_winnowing_decontamination,
