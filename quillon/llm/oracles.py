@@ -49,3 +49,17 @@ hits AS (
 
 OP10 = f"""WITH {benchmark_hits()}
 SELECT doc_id, n_words, n_hit, len(ids) AS n_items, sha256(array_to_string(ids, ',')) AS items_sha256, len(ids) >= 2 AS contaminated FROM hits"""
+
+
+OP8 = """WITH worded AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS k
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM worded WHERE len(ws) >= 35)),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN again USING (k)) GROUP BY doc_id),
+positions AS (
+    SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+        CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ws[i]) END AS kept
+    FROM worded LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM positions"""
