@@ -1,14 +1,15 @@
 """Near-duplicate documents by b-bit MinHash.
 
-One pass over the texts makes, of each document's set of word shingles, the minima of `ROWS` hash functions. Their low four
-bits are kept and packed into eight 64-bit integers; groups of four whole minima give `BANDS` band keys. Equal texts are one
+One pass over the texts makes, of each document's set of word shingles, the minima of `ROWS` hash functions. Two bits of each
+are kept and packed into 32 64-bit integers; groups of four whole minima give `BANDS` band keys. Equal texts are one
 from here on. Documents that share a band key are candidates. The agreement of two packed signatures, counted in bits and
-corrected for the 1 in 16 that agree by chance, estimates their similarity; candidates whose estimate is over six standard
+corrected for the 1 in 4 that agree by chance, estimates their similarity; candidates whose estimate is four standard
 deviations too low are let go, all others are confirmed on the full sets of both texts.
 
-Candidates are never all pairs of a band. First every document of a band is compared with the band's smallest one. Where a
+Candidates are never all pairs of a band. First every document of a band is compared with the one
+of them that meets most others over all bands. Where a
 band still holds documents of several components, those outside its largest component are compared with all others of it, so
-no link between components is lost; links inside one component change nothing. With 32 bands of 4 rows a pair of similarity
+no link between components is lost; links inside one component change nothing. They are compared in blocks of bounded size. With 32 bands of 4 rows a pair of similarity
 0.75 is missed with probability 5e-6, and more similar ones less often.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; equal texts always link; rows that share a
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,23 +33,25 @@ from .common import materialise, table
 from .components import components
 from .words import Words, mix, parts, shingle_sets, utf8
 
-BANDS, BAND_ROWS, BITS = 32, 4, 4
-ROWS = BANDS * BAND_ROWS
-#: Of 128 agreements the least that admits a pair: a similarity of 0.75 gives 98 with a deviation of 4.8.
-LEAST_AGREEMENT = 68
+BANDS, BAND_ROWS, ROWS, BITS = 32, 4, 1024, 2
+#: Of 1024 agreements the least that admits a pair: a similarity of 0.75 gives 832 with a deviation of 12.5.
+LEAST_AGREEMENT = 782
+#: A first look takes eight integers, 256 places: 208 and 6.2.
+_FIRST_LANES, _FIRST_LEAST = 8, 180
 SHARE = (75, 100)
 SHINGLE = 5
 _LANES = ROWS * BITS // 64
-_NIBBLES = 0x1111111111111111
-_SEEDS = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_LOW = 0x5555555555555555
+_SEEDS = (mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The minima (rows x ROWS) of nonempty sets laid end to end."""
-    out = np.empty((len(offsets) - 1, ROWS), np.uint64)
+    """The minima (rows x ROWS) of nonempty sets laid end to end, of 32 bits each."""
+    values = (values >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(offsets) - 1, ROWS), np.uint32)
     at = 0
     while at < len(offsets) - 1:  # pieces that stay in the processor's cache
-        upto = max(int(np.searchsorted(offsets, offsets[at] + 16384, "right")) - 1, at + 1)
+        upto = max(int(np.searchsorted(offsets, offsets[at] + 32768, "right")) - 1, at + 1)
         own = values[offsets[at] : offsets[upto]]
         cut = offsets[at:upto] - offsets[at]
         product = np.empty_like(own)
@@ -60,13 +64,13 @@ def minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def packed(least: np.ndarray) -> np.ndarray:
     """Low bits of mixed minima, 16 to a 64-bit integer."""
-    low = mix(least) & np.uint64((1 << BITS) - 1)
+    low = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64)
     shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
     return (low.reshape(len(least), _LANES, -1) << shifts).sum(axis=2, dtype=np.uint64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    grouped = least.reshape(len(least), BANDS, BAND_ROWS)
+    grouped = least[:, : BANDS * BAND_ROWS].reshape(len(least), BANDS, BAND_ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS)) * np.uint64(0xC2B2AE3D27D4EB4F)
     for j in range(BAND_ROWS):
         key = mix(key ^ grouped[:, :, j]) * np.uint64(0x165667B19E3779F9)
@@ -100,22 +104,20 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests, _DIGEST)
 
 
-def agreement(left: str, right: str) -> Column:
-    """In how many of the ROWS places two packed signatures agree, by counting bits."""
+def agreement(left: str, right: str, lanes: int = _FIRST_LANES) -> Column:
+    """In how many places the first integers of two packed signatures agree, by counting bits."""
 
     def apart(i: int) -> Column:
         x = F.col(left)[i].bitwiseXOR(F.col(right)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(_NIBBLES)))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW)))
 
-    return F.lit(ROWS) - reduce(lambda a, b: a + b, (apart(i) for i in range(_LANES)))
+    return F.lit(lanes * 64 // BITS) - reduce(lambda a, b: a + b, (apart(i) for i in range(lanes)))
 
 
-def estimate(left: str, right: str) -> Column:
-    """The similarity that the agreement speaks for, corrected for chance agreement."""
+def estimate(agreed: int | np.ndarray, of: int = ROWS) -> float | np.ndarray:
+    """The similarity that an agreement speaks for, corrected for chance agreement."""
     chance = 1 / (1 << BITS)
-    return (agreement(left, right) / F.lit(ROWS) - F.lit(chance)) / F.lit(1 - chance)
+    return (agreed / of - chance) / (1 - chance)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +158,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = texts.select("node", "signature")
 
     members = texts.select("node", F.explode("bands").alias("band"))
-    leaders = materialise(members.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader"), "leaders")
-    shared = materialise(members.join(leaders, "band"), "shared")
+    sizes = materialise(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    met = materialise(members.join(sizes, "band"), "met")
+    # The document that meets most others is the one that the others are likest to, such as the text that all were made from.
+    central = materialise(met.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    leaders = met.join(central, "node").groupBy("band").agg(F.max(F.struct("score", -F.col("node")))["col2"].alias("leader"))
+    leaders = materialise(leaders.select("band", (-F.col("leader")).alias("leader")), "leaders")
+    shared = materialise(met.select("band", "node").join(leaders, "band"), "shared")
     pairs = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
     def similar(pairs: DataFrame) -> DataFrame:
         left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
         right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= _FIRST_LEAST).select("a", "b")
 
     links = materialise(confirm(materialise(similar(pairs), "pairs"), docs), "links")
     root = materialise(components(links), "components")
@@ -172,12 +179,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = shared.join(root, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
     mixed = materialise(placed.join(materialise(mixed, "mixed"), "band", "left_semi"), "mixed-members")
-    largest = mixed.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-    mixed = materialise(mixed.join(largest, "band").join(nodes, "node"), "mixed-nodes")
-    out = mixed.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("leader").alias("la"), F.col("signature").alias("sa"))
-    rest = mixed.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("signature").alias("sb"))
-    fresh = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("mb")) | (F.col("a") > F.col("b"))) & (F.col("a") != F.col("la")) & (F.col("b") != F.col("la"))
-    second = materialise(out.join(rest, "band").where(fresh & (agreement("sa", "sb") >= LEAST_AGREEMENT)).select("a", "b").distinct(), "more-pairs")
+    second = materialise(_across(mixed, texts.select("node", "signature", "bands")), "more-pairs")
     more = materialise(confirm(second, docs), "more-links")
     top = materialise(_joined(root, more), "components")
 
@@ -188,6 +190,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+#: Documents of one band that are compared at once: so many outside its largest component, with so many of all.
+_BLOCK_OUT, _BLOCK_ALL = 1024, 4096
+
+
+def _across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of a band's different components; mixed: band, leader, node and root of every document.
+
+    Blocks of bounded size are compared by counting bits; only pairs that agree enough leave them, each in the first band it
+    shares.
+    """
+    counted = mixed.groupBy("band", "root").count()
+    largest = counted.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    largest = largest.select("band", "main", F.ceil((F.col("all") - F.col("most")) / _BLOCK_OUT).alias("outs"), F.ceil(F.col("all") / _BLOCK_ALL).alias("alls"))
+    placed = materialise(mixed.join(materialise(largest, "largest"), "band").join(sketches, "node"), "mixed-nodes")
+
+    def slot(n: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
+
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("alls") - 1)
+    outer = placed.where("root <> main").select("*", F.lit(True).alias("outer"), slot("outs").alias("o"), F.explode(every).alias("i"))
+    inner = placed.select("*", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outs") - 1)).alias("o"), slot("alls").alias("i"))
+    both = outer.unionByName(inner).select("band", "o", "i", "outer", "node", "root", "main", "leader", "signature", "bands")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        left, right = group[group.outer], group[~group.outer]
+        if len(left) and len(right):
+            sa, sb, ba, bb = (np.stack(c.to_numpy()).view(np.uint64) for c in (left.signature, right.signature, left.bands, right.bands))
+            a, b, ra, rb = left.node.to_numpy(), right.node.to_numpy(), left.root.to_numpy(), right.root.to_numpy()
+            band, main, leader = np.uint64(int(group.band.iloc[0]) % (1 << 64)), group.main.iloc[0], group.leader.iloc[0]
+            for at in range(0, len(a), 64):
+                part = slice(at, at + 64)
+                apart = np.zeros((len(a[part]), len(b)), np.uint16)
+                for lane in range(_LANES):
+                    x = sa[part, lane, None] ^ sb[None, :, lane]
+                    apart += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW))
+                fresh = (ROWS - apart.astype(np.int64) >= LEAST_AGREEMENT) & (ra[part, None] != rb[None]) & ((rb[None] == main) | (a[part, None] > b[None]))
+                i, j = np.nonzero(fresh)
+                i += at
+                keep = (a[i] != leader) & (b[j] != leader)
+                i, j = i[keep], j[keep]
+                first = np.argmax(ba[i] == bb[j], axis=1)
+                keep = ba[i, first] == band
+                found.append(np.stack([a[i[keep]], b[j[keep]]], axis=1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return both.groupBy("band", "o", "i").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
 def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
     """Components with further links between them."""
     a, b = root.select(F.col("node").alias("a"), F.col("root").alias("ra")), root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
