@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.operators import identity
+from quillon.operators import context, identity, layout, state
+from quillon.streaming import fencing
 
-_MODULES = [identity]
+_MODULES = [identity, layout, state, context, fencing]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

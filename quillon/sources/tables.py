@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,13 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of a page (an order), made from the integers of its lines: page_id, pos, x1, y1, x2, y2, conf."""
     d = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     x, y = (F.col("l_partkey") % 300).cast("double"), (F.col("l_suppkey") * 7 % 260).cast("double")
     w, h = F.col("l_quantity") * 2 + 20, (F.col("l_linenumber") * 17 % 60 + 24).cast("double")
-    return d.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("pos"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), F.round(1 - F.col("l_discount") * 5, 2).alias("conf"))
+    return d.select(F.col("l_orderkey").alias("page_id"), F.row_number().over(order).alias("pos"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), F.round(1 - F.col("l_discount") * 5, 2).alias("conf"))
 
 
 BOXES = """boxes AS (
-    SELECT l_orderkey AS page_id, l_linenumber AS pos, CAST(l_partkey % 300 AS DOUBLE) AS x1, CAST(l_suppkey * 7 % 260 AS DOUBLE) AS y1,
+    SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_extendedprice) AS INT) AS pos,
+        CAST(l_partkey % 300 AS DOUBLE) AS x1, CAST(l_suppkey * 7 % 260 AS DOUBLE) AS y1,
         CAST(l_partkey % 300 AS DOUBLE) + l_quantity * 2 + 20 AS x2, CAST(l_suppkey * 7 % 260 AS DOUBLE) + CAST(l_linenumber * 17 % 60 + 24 AS DOUBLE) AS y2,
         round(1 - l_discount * 5, 2) AS conf
     FROM lineitem)"""
