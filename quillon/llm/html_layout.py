@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 WIDEST = 60
 
@@ -351,7 +351,7 @@ def visible_text(pages: DataFrame) -> DataFrame:
             texts = [render(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInArrow(run, "page_id bigint, text string")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInArrow(lean(run), "page_id bigint, text string")
 
 
 def op6_layout_aware_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:

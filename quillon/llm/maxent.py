@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lean, materialise, table
 from .words import Words, mix, parts, utf8
 
 FREQUENT, SUFFIXES = 23, 32
@@ -206,7 +206,7 @@ def train(prepared: DataFrame, model: Model, folds: int, fold: int, rounds: int
         return pa.table({"block": group.column("block")[:1], "weights": pa.array([average.tobytes()], pa.binary())})
 
     for _ in range(rounds):
-        local = prepared.mapInArrow(run, "block int, task int, seen bigint, weights binary")
+        local = prepared.mapInArrow(lean(run), "block int, task int, seen bigint, weights binary")
         fresh = local.groupBy("block").applyInArrow(mean, "block int, weights binary").collect()  # the weights, of fixed size
         for r in fresh:
             part = np.frombuffer(bytes(r.weights), np.float32).reshape(-1, CLASSES)
@@ -223,8 +223,8 @@ _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, tra
 
 def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """Per row of docs the base and model log10 probabilities; rows outside the held-out fold are learned from."""
-    packed = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pack(folds, fold), _PACKED), "slices")
-    words = packed.select("slice", "hashes", "suffixes", "trained").mapInArrow(_distinct, "slice bigint, place int, hash bigint, n int, suffix short")
+    packed = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(_pack(folds, fold)), _PACKED), "slices")
+    words = packed.select("slice", "hashes", "suffixes", "trained").mapInArrow(lean(_distinct), "slice bigint, place int, hash bigint, n int, suffix short")
     over = Window.partitionBy("hash")  # a row for each slice at most
     counted = words.select("slice", "place", "hash", "suffix", F.sum("n").over(over).alias("c"), (F.min("slice").over(over) == F.col("slice")).alias("first"))
     counted = materialise(counted, "word-counts")
@@ -266,7 +266,7 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return prepared.mapInArrow(run, _SCORES)
+    return prepared.mapInArrow(lean(run), _SCORES)
 
 
 def op7_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

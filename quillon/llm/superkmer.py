@@ -24,14 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lean, materialise, table
 from .words import Words, chained, mix, parts, utf8
 
 WINDOW, GRAM = 35, 8
 #: Common grams that are passed over as minimisers, at most; a gram is common from this many occurrences in one batch on.
 COMMON, COMMON_COUNT = 65_536, 16
 #: Words that a bucket holds, about, and windows of one packed string at most.
-BUCKET_WORDS, LONGEST = 1_500_000, 512
+BUCKET_WORDS, LONGEST = 1_000_000, 512
+#: Bytes of text that a task looks at together.
+SLICE_BYTES = 1 << 23
 _TOP = np.uint64(1 << 63)
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
@@ -65,7 +67,7 @@ def common_grams(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
-            for texts in parts(batch.column(0), 1 << 25):
+            for texts in parts(batch.column(0), SLICE_BYTES):
                 words = Words(*utf8(texts), lower=False)
                 total += len(words.starts)
                 _, at = _windows(words.first, GRAM)
@@ -74,7 +76,7 @@ def common_grams(docs: DataFrame) -> tuple[np.ndarray, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(n[often], pa.int64())], ["gram", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["gram", "n"])
 
-    counted = materialise(docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    counted = materialise(docs.select("text").mapInArrow(lean(count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = counted.where("gram IS NULL").collect()
     top = counted.where("gram IS NOT NULL").orderBy(F.desc("n"), "gram").limit(COMMON).select("gram").collect()
     return np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64)), int(total[0].n or 0) if total else 0
@@ -115,7 +117,7 @@ def _packer(common: np.ndarray, buckets: int):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             at = 0
-            for texts in parts(batch.column(2), 1 << 25):
+            for texts in parts(batch.column(2), SLICE_BYTES):
                 ids = np.nan_to_num(batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)).astype(np.int64)
                 hashes = batch.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)
                 at += len(texts)
@@ -210,7 +212,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     common, total = common_grams(docs)
     buckets = max(1, math.ceil(3 * total / BUCKET_WORDS))
-    packed = own.select(F.coalesce("id", F.lit(0)).alias("id"), "text_hash", "text").mapInArrow(_packer(common, buckets), _PACKED)
+    packed = own.select(F.coalesce("id", F.lit(0)).alias("id"), "text_hash", "text").mapInArrow(lean(_packer(common, buckets)), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_count, _RANGES)
 
 
@@ -237,7 +239,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return both.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return both.select("doc_id", "text", "ranges").mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def op8_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

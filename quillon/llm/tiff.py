@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 UNIT, WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 96, 384, 96, 48
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -294,7 +294,7 @@ def write_media(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
                     size, files, held = [], [], 0
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, media binary")
 
 
 _PAGE = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())])
@@ -330,7 +330,7 @@ def read_pages(media: DataFrame) -> DataFrame:
             if rows:
                 yield out(rows)
 
-    return media.select("doc_id", "media").mapInArrow(run, PAGE_SCHEMA)
+    return media.select("doc_id", "media").mapInArrow(lean(run), PAGE_SCHEMA)
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def media_digest(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DIGEST, strict=True)], schema=_DIGEST)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

@@ -41,10 +41,12 @@ def _power_table(n: int) -> np.ndarray:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the rows' offsets in them; null rows are empty."""
-    column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    width = 8 if pa.types.is_large_string(column.type) else 4
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], f"i{width}", len(column) + 1, column.offset * width).astype(np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
