@@ -227,6 +227,56 @@ def earliest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 EARLIEST_MARKS = """SELECT user_id, key, t0 FROM (SELECT user_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS key, min(ts) AS t0 FROM events GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t0 DESC, key) <= 40"""
 
-_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks]
+def remaining_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns from its first answer on; without one none, never the head."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    anchor = F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    return c.withColumn("anchor", anchor).where("turn >= anchor").select("conv_id", "turn")
+
+
+REMAINING_PAGES = """SELECT conv_id, turn FROM conversations QUALIFY turn >= min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id)"""
+
+
+def take_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order the lines that can be committed: the run of numbers from 1 on without a gap."""
+    n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    return n.withColumn("k", k).where("l_linenumber = k").groupBy("l_orderkey").agg(F.count("*").alias("n_ready"))
+
+
+TAKE_ORDERED = """WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM n)
+SELECT l_orderkey, count(*) AS n_ready FROM k WHERE l_linenumber = k GROUP BY 1"""
+
+
+def count_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct logical pages of each store among whole rows of the current epoch."""
+    e = table(spark, sf_dir, "events").where((F.col("event_id") % 10 != 0) & (F.col("event_id") % 7 != 0))
+    return e.groupBy("event_type").agg(F.countDistinct("user_id").alias("n_pages"))
+
+
+COUNT_PAGES = "SELECT event_type, count(DISTINCT user_id) AS n_pages FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0 GROUP BY 1"
+
+
+def pick_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed orders that may be tried again and weren't yet."""
+    o, tried = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return o.where("o_orderstatus = 'P' AND o_orderpriority <> '5-LOW'").join(tried, "o_orderkey", "left_anti").select("o_custkey", "o_orderkey")
+
+
+PICK_RETRY = "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority <> '5-LOW' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"
+
+
+def gender_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text to M, F or ?; the word "male" is looked for first, so "female" is M, as it always was."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("g"))
+    free = F.when(F.col("c_custkey") % 4 == 0, "Female").when(F.col("c_custkey") % 4 == 1, "f").when(F.col("c_custkey") % 4 == 2, F.concat(F.lit(" M "), "g")).otherwise(F.col("g"))
+    g = F.trim(F.lower(free))
+    return c.select("c_custkey", F.when(g.rlike("male|^m"), "M").when(g.rlike("^f"), "F").otherwise("?").alias("gender"))
+
+
+GENDER_WORDS = """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'f' WHEN 2 THEN 'm ' || lower(c_mktsegment) ELSE lower(c_mktsegment) END AS g FROM customer)
+SELECT c_custkey, CASE WHEN regexp_matches(g, 'male|^m') THEN 'M' WHEN regexp_matches(g, '^f') THEN 'F' ELSE '?' END AS gender FROM c"""
+
+_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words]
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F}
