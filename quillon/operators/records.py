@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import hashes as H
 from quillon.functions import text as T
 from quillon.functions import urls as U
 from quillon.sources.tables import BOXES, boxes, table
@@ -268,15 +269,38 @@ PICK_RETRY = "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P'
 
 def gender_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text to M, F or ?; the word "male" is looked for first, so "female" is M, as it always was."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("g"))
-    free = F.when(F.col("c_custkey") % 4 == 0, "Female").when(F.col("c_custkey") % 4 == 1, "f").when(F.col("c_custkey") % 4 == 2, F.concat(F.lit(" M "), "g")).otherwise(F.col("g"))
-    g = F.trim(F.lower(free))
-    return c.select("c_custkey", F.when(g.rlike("male|^m"), "M").when(g.rlike("^f"), "F").otherwise("?").alias("gender"))
+    c = table(spark, sf_dir, "customer")
+    free = F.when(F.col("c_custkey") % 4 == 0, "Female").when(F.col("c_custkey") % 4 == 1, "f").when(F.col("c_custkey") % 4 == 2, "M").otherwise(F.col("c_mktsegment"))
+    c = c.select("c_custkey", F.lower(free).alias("g"))
+    g = F.col("g")
+    return c.select("c_custkey", F.when((g == "m") | g.contains("male"), "M").when((g == "f") | g.contains("female"), "F").otherwise("?").alias("gender"))
 
 
-GENDER_WORDS = """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'f' WHEN 2 THEN 'm ' || lower(c_mktsegment) ELSE lower(c_mktsegment) END AS g FROM customer)
-SELECT c_custkey, CASE WHEN regexp_matches(g, 'male|^m') THEN 'M' WHEN regexp_matches(g, '^f') THEN 'F' ELSE '?' END AS gender FROM c"""
+GENDER_WORDS = """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'f' WHEN 2 THEN 'm' ELSE lower(c_mktsegment) END AS g FROM customer)
+SELECT c_custkey, CASE WHEN g = 'm' OR contains(g, 'male') THEN 'M' WHEN g = 'f' OR contains(g, 'female') THEN 'F' ELSE '?' END AS gender FROM c"""
 
-_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words]
+def byte_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short hash of each page's address."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.transform(F.split("url", ""), lambda c: F.ascii(c)).alias("codes"))
+    return H.with_hash(p, "codes", "text_hash").select("page_id", "text_hash")
+
+
+BYTE_HASH = H.sql_hash("pages", "list_transform(string_split(url, ''), lambda c: CAST(ascii(c) AS BIGINT))", "page_id")
+
+
+def signature_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population deviation of each vector's values, and whether it is too flat to be told apart."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    v = v.withColumn("m", mean)
+    var = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / F.size("v")
+    return v.select("vec_id", F.round(F.sqrt(var), 6).alias("contrast"), F.forall("v", lambda x: F.abs(x - F.col("v")[0]) <= 0.2).alias("uniform"))
+
+
+SIGNATURE_CONTRAST = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+m AS (SELECT vec_id, v, list_reduce(v, lambda s, x: s + x, 0.0::DOUBLE) / len(v) AS m FROM v)
+SELECT vec_id, round(sqrt(list_reduce(list_transform(v, lambda x: (x - m) * (x - m)), lambda s, x: s + x, 0.0::DOUBLE) / len(v)), 6) AS contrast, len(list_filter(v, lambda x: abs(x - v[1]) > 0.2)) = 0 AS uniform FROM m"""
+
+_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words, byte_hash, signature_contrast]
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F}
