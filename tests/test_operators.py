@@ -61,3 +61,42 @@ def test_text_rules(spark):
     got = df.select(text.usable(F.col("t")).alias("u"), text.meta_no_text(F.col("t")).alias("m")).collect()
     assert [r.u for r in got] == [False, False, False, True, False, True]
     assert [r.m for r in got] == [False] * 5 + [True]
+
+
+def test_markup_rules(spark):
+    from quillon.operators import markup
+
+    cases = [
+        ('<r n="1" spk="c1">hello</r><r n="2" keep="true"/>', [(1, "c1", "hello"), (2, None, "keep")]),
+        ('<r n="1">left open\n<r n="2"/>beside', [(1, None, "left open"), (2, None, "beside")]),
+        ('<r n="9">out</r><r n="x">no</r><R N="2">-></R>', [(2, None, "keep")]),
+        ('<r n="1">keep it</r><r n="1">no readable text</r>', [(1, None, "keep"), (1, None, "keep")]),
+        ("", []),
+        (None, []),
+    ]
+    df = spark.createDataFrame([(i, t, 2) for i, (t, _) in enumerate(cases)], "id int, reply string, expected int")
+    rows = markup.parsed(df, "reply", "expected").orderBy("id", "pos").collect()
+    for i, (_, want) in enumerate(cases):
+        assert [(r.n, r.spk, r.translation) for r in rows if r.id == i] == want
+
+
+def test_hash_of_bytes(spark):
+    from quillon.functions import hashes
+
+    df = spark.createDataFrame([([],), ([0],), ([300, 7],)], "codes array<int>")
+    mask = (1 << 32) - 1
+
+    def plain(data):
+        h = list(hashes.START)
+        for b in data:
+            h = [((x ^ (b & 255)) * m) & mask for x, m in zip(h, hashes.STEP, strict=True)]
+
+        def last(a, b):
+            return ((a ^ a >> 16) * hashes.LAST[0] & mask) ^ ((b ^ b >> 13) * hashes.LAST[1] & mask)
+
+        f1 = last(*h)
+        f2 = last(h[1], f1)
+        return f"{((f2 & 2097151) << 32) + f1:x}"
+
+    got = [r.h for r in hashes.with_hash(df, "codes", "h").collect()]
+    assert got == [plain([]), plain([0]), plain([300, 7])]
