@@ -18,6 +18,21 @@ def test_suppression_keeps_the_surest_and_ties_to_the_first():
     assert layout.suppressed([]) == []
 
 
+def test_containment_in_order():
+    big, inner, other = box(1, 0, 0, 100, 100, 0.9), box(2, 10, 10, 50, 50, 0.4), box(3, 12, 12, 49, 49, 0.8)
+    assert [b["pos"] for b in layout.uncontained([big, inner, other])] == [1]
+    assert [b["pos"] for b in layout.uncontained([inner, other])] == [3]
+    assert [b["pos"] for b in layout.uncontained([box(1, 0, 0, 10, 10), box(2, 0, 0, 10, 10)])] == [2]
+    assert layout.uncontained([]) == []
+
+
+def test_reading_order_both_ways():
+    grid = [box(1, 0, 0, 40, 40), box(2, 60, 0, 100, 40), box(3, 0, 60, 40, 100), box(4, 60, 60, 100, 100)]
+    assert [r[1] for r in layout.reading_ranks(grid)] == [2, 1, 4, 3]
+    assert [r[1] for r in layout.reading_ranks(grid, right_to_left=False)] == [1, 2, 3, 4]
+    assert [r[1] for r in layout.reading_ranks([box(7, 0, 0, 10, 10)])] == [7]
+
+
 def test_clusters_are_transitive():
     rows = layout.clustered([box(1, 0, 0, 10, 10), box(2, 30, 0, 40, 10), box(3, 60, 0, 70, 10), box(4, 500, 500, 510, 510)])
     assert [r[2] for r in rows] == [1, 1, 1, 4]
