@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import hashes as H
+from quillon.functions import policy as P
 from quillon.functions import text as T
 from quillon.functions import urls as U
 from quillon.sources.tables import BOXES, boxes, table
@@ -301,6 +302,32 @@ SIGNATURE_CONTRAST = """WITH v AS (SELECT vec_id, list_transform(embedding, lamb
 m AS (SELECT vec_id, v, list_reduce(v, lambda s, x: s + x, 0.0::DOUBLE) / len(v) AS m FROM v)
 SELECT vec_id, round(sqrt(list_reduce(list_transform(v, lambda x: (x - m) * (x - m)), lambda s, x: s + x, 0.0::DOUBLE) / len(v)), 6) AS contrast, len(list_filter(v, lambda x: abs(x - v[1]) > 0.2)) = 0 AS uniform FROM m"""
 
-_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words, byte_hash, signature_contrast]
+def fetch_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fetches each rule blocks, of addresses made from events, asked for by a page on 10.1.1.5."""
+    k = F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0))
+    scheme = F.when(F.col("event_id") % 9 == 0, "ftp").otherwise("http")
+    url = F.concat(scheme, F.lit("://"), (F.col("user_id") + k).cast("string"), F.lit("."), (k * 2).cast("string"), F.lit(".1.5:8080/x"))
+    e = P.with_verdict(table(spark, sf_dir, "events").select(url.alias("url"), F.lit("https://10.1.1.5/reader").alias("sender")), "url", "sender")
+    return e.groupBy(F.coalesce("verdict", F.lit("allowed")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+FETCH_POLICY = """WITH k AS (SELECT event_id % 9 = 0 AS ftp, user_id + coalesce(TRY_CAST(props ->> '$.k' AS BIGINT), 0) AS a, 2 * coalesce(TRY_CAST(props ->> '$.k' AS BIGINT), 0) AS b FROM events)
+SELECT CASE WHEN ftp THEN 'scheme' WHEN (a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)) AND NOT (a = 10 AND b = 1) THEN 'local network' ELSE 'allowed' END AS verdict,
+    count(*) AS n FROM k GROUP BY 1"""
+
+
+def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links not on the first page, each where it occurs first."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    known = p.where("page_id = 0").select("href").distinct()
+    first = p.join(known, "href", "left_anti").groupBy("href").agg(F.min(F.struct("page_id", "pos")).alias("at"))
+    return first.select("href", F.col("at.page_id").alias("page_id"), F.col("at.pos").alias("pos"))
+
+
+NEW_LINKS = """WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages),
+p AS (SELECT page_id, i - 1 AS pos, l[i] AS href FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM h))
+SELECT href, arg_min(page_id, ROW(page_id, pos)) AS page_id, CAST(arg_min(pos, ROW(page_id, pos)) AS INT) AS pos FROM p WHERE href NOT IN (SELECT href FROM p WHERE page_id = 0) GROUP BY href"""
+
+_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words, byte_hash, signature_contrast, fetch_policy, new_links]
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F}

@@ -115,3 +115,24 @@ def test_hash_of_bytes(spark):
 
     got = [r.h for r in hashes.with_hash(df, "codes", "h").collect()]
     assert got == [plain([]), plain([0]), plain([300, 7])]
+
+
+def test_fetch_policy(spark):
+    from quillon.functions import policy
+
+    cases = [
+        ("https://example.org/a", "https://r.example/", None),
+        ("data:image/png", "https://r.example/", "scheme"),
+        ("no address", "https://r.example/", "invalid url"),
+        (None, "https://r.example/", "invalid url"),
+        ("http://127.0.0.1:80/x", "https://r.example/", "local network"),
+        ("http://127.0.0.1/x", "http://localhost:3000/", None),
+        ("http://[::1]/", "http://127.0.0.1/", None),
+        ("http://[::ffff:10.0.0.1]/", None, "local network"),
+        ("http://[::ffff:7f00:1]/", "https://r.example/", "local network"),
+        ("http://[fe80::1]/", "https://r.example/", "local network"),
+        ("http://172.32.0.1/", "https://r.example/", None),
+        ("http://a.localhost./", "https://r.example/", "local network"),
+    ]
+    df = spark.createDataFrame([(u, s) for u, s, _ in cases], "u string, s string")
+    assert [r.verdict for r in policy.with_verdict(df, "u", "s").collect()] == [w for _, _, w in cases]
