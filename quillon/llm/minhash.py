@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import lean, materialise, table
 from .components import components
 from .words import Words, mix, parts, shingle_sets, utf8
 
@@ -101,7 +101,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, a 16-byte key of the word sequence, the set's size, the packed signature and the band keys."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests, _DIGEST)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(_digests), _DIGEST)
 
 
 def agreement(left: str, right: str, lanes: int = _FIRST_LANES) -> Column:
@@ -147,7 +147,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     texts = materialise(own.join(wanted, "id", "left_semi"), "texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirmed), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

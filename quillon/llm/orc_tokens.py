@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table, work_path
+from .common import lean, table, work_path
 
 INDEX_ROWS = 1000
 STRIPE_BYTES = 16 << 20
@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         yield batch_of(ids, shard, starts, lengths, data)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA).write.options(**_FORMAT).orc(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(lean(run), SCHEMA).write.options(**_FORMAT).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +84,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), length, pa.array(crc, pa.int64())], ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
     files = read_tokens(spark, path)
-    rows = files.select("doc_id", "shard", "shard_start", "ids").mapInArrow(run, "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.select("doc_id", "shard", "shard_start", "ids").mapInArrow(lean(run), "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids_crc32 bigint")
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     bases = totals.select(F.col("shard").alias("of"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))

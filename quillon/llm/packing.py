@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table
+from .common import lean, table
 
 WINDOW = 2048
 #: Open windows of one partition before they are closed.
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int =
         put(packer.close())
         yield out()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op3_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the factors are counted on, about; and shapes that are kept.
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["what", "shape", "l", "r", "n"])
 
     some = docs.select("text").where(F.expr(f"pmod(xxhash64(text), {max(docs.count(), 1)}) < {int(fit_docs)}"))
-    counted = some.mapInArrow(count, "what string, shape string, l int, r int, n bigint").groupBy("what", "shape", "l", "r").agg(F.sum("n").alias("n"))
+    counted = some.mapInArrow(lean(count), "what string, shape string, l int, r int, n bigint").groupBy("what", "shape", "l", "r").agg(F.sum("n").alias("n"))
     shapes, pairs, total = {}, np.zeros((2, _STATES, _STATES)), np.zeros(_STATES)
     for r in counted.orderBy(F.desc("n"), "shape", "l").limit(SHAPES).collect():
         if r.what == "u":
@@ -265,7 +265,7 @@ def find_spans(docs: DataFrame, field: Field) -> DataFrame:
 
     docs = docs.drop("spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, spans {_SPANS}")
+    return docs.mapInArrow(lean(run), f"{schema}, spans {_SPANS}")
 
 
 def redact(text: Column, spans: Column) -> Column:

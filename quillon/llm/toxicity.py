@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Labelled documents that the scorer is fitted on, at most.
 FIT_ROWS = 20_000
@@ -35,7 +35,7 @@ FIT_ROWS = 20_000
 FEATURES, SUPPORT = 1024, 8
 PREFIXES = range(3, 9)
 #: Surfaces whose features one worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 
 # Letters that characters are commonly used in place of.
 _STANDS_FOR = {
@@ -75,7 +75,7 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(letter | two letters before) over all texts, interpolated with shorter contexts; 64 x 64 x 64."""
-    counted = docs.select("text").mapInArrow(_trigram_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(_trigram_counts), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.zeros(_SIZE**3)
     for gram, n in counted.collect():  # 64**3 rows at most, whatever the input
         counts[gram] = n
@@ -211,7 +211,7 @@ def _chosen(sample: DataFrame, model: np.ndarray) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([by[0][s] for s in part], pa.int64()), pa.array([by[1][s] for s in part], pa.int64())], ["s", "n0", "n1"])
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([rows[0]], pa.int64()), pa.array([rows[1]], pa.int64())], ["s", "n0", "n1"])
 
-    counted = sample.select("text", "toxic").mapInArrow(count, "s string, n0 bigint, n1 bigint").groupBy("s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = sample.select("text", "toxic").mapInArrow(lean(count), "s string, n0 bigint, n1 bigint").groupBy("s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rows = counted.where((F.col("s") == "") | (F.col("n0") + F.col("n1") >= SUPPORT))
     total = rows.where("s = ''").select(F.col("n0").alias("t0"), F.col("n1").alias("t1"))
 
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
             own = [seen.of(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(o) for o in own], pa.list_(pa.int32())), pa.array([list(o.values()) for o in own], pa.list_(pa.int32()))], ["toxic", "f", "n"])
 
-    rows = sample.select("text", "toxic").mapInArrow(features, "toxic int, f array<int>, n array<int>").collect()
+    rows = sample.select("text", "toxic").mapInArrow(lean(features), "toxic int, f array<int>, n array<int>").collect()
     y = np.array([r.toxic for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Scorer(model, {}, np.zeros(0), 0.0, float(y[0]) if len(y) else 0.0)
@@ -282,7 +282,7 @@ def score(docs: DataFrame, scorer: Scorer, into: str = "score") -> DataFrame:
 
     docs = docs.drop(into)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{into}` double")
+    return docs.mapInArrow(lean(run), f"{schema}, `{into}` double")
 
 
 def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
