@@ -66,7 +66,7 @@ def packed(least: np.ndarray) -> np.ndarray:
     """Low bits of mixed minima, 16 to a 64-bit integer."""
     low = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64)
     shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
-    return (low.reshape(len(least), _LANES, -1) << shifts).sum(axis=2, dtype=np.uint64)
+    return (low.reshape(len(least), _LANES, 64 // BITS) << shifts).sum(axis=2, dtype=np.uint64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
