@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import lean, materialise, table
 
 #: Labelled documents that the scorer is fitted on, at most.
 FIT_ROWS = 20_000
@@ -212,16 +212,16 @@ def _chosen(sample: DataFrame, model: np.ndarray) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([rows[0]], pa.int64()), pa.array([rows[1]], pa.int64())], ["s", "n0", "n1"])
 
     counted = sample.select("text", "toxic").mapInArrow(lean(count), "s string, n0 bigint, n1 bigint").groupBy("s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rows = counted.where((F.col("s") == "") | (F.col("n0") + F.col("n1") >= SUPPORT))
-    total = rows.where("s = ''").select(F.col("n0").alias("t0"), F.col("n1").alias("t1"))
+    rows = materialise(counted.where((F.col("s") == "") | (F.col("n0") + F.col("n1") >= SUPPORT)), "sequences")
+    total = rows.where("s = ''").first()  # how many documents of either label there are
+    t0, t1 = F.lit(int(total.n0)) if total else F.lit(0), F.lit(int(total.n1)) if total else F.lit(0)
 
     def term(n: Column, of: Column, p: Column) -> Column:
         return F.when(n > 0, n * F.log(n / (of * p))).otherwise(0.0) + F.when(of - n > 0, (of - n) * F.log((of - n) / (of * (1 - p)))).otherwise(0.0)
 
-    p = (F.col("n0") + F.col("n1")) / (F.col("t0") + F.col("t1"))
-    joined = rows.where("s <> ''").join(F.broadcast(total), F.lit(True))  # one row
-    joined = joined.where(p < 1).withColumn("g", term(F.col("n0"), F.col("t0"), p) + term(F.col("n1"), F.col("t1"), p))
-    return [r.s for r in joined.orderBy(F.desc("g"), "s").limit(FEATURES).collect()]
+    p = (F.col("n0") + F.col("n1")) / (t0 + t1)
+    ranked = rows.where("s <> ''").where(p < 1).withColumn("g", term(F.col("n0"), t0, p) + term(F.col("n1"), t1, p))
+    return [r.s for r in ranked.orderBy(F.desc("g"), "s").limit(FEATURES).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, fold: int = 0) -> Scorer:
