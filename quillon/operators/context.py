@@ -12,6 +12,7 @@ from quillon.sources.tables import table
 
 CAP, WIDTH = 6, 40
 _NAME = re.compile(r"\b[^\W\d_a-zß-öø-ÿ][^\W\d_]{3,}\b")
+# Forms of address that are no part of a name.
 _HONORIFIC = re.compile(r"[-\s]?(?:senpai|sensei|kun|chan|san|sama)$", re.IGNORECASE)
 
 

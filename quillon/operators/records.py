@@ -11,6 +11,7 @@ from quillon.functions import text as T
 from quillon.functions import urls as U
 from quillon.sources.tables import BOXES, boxes, table
 
+# How chapter containers and trailing chapter segments are written.
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 CONTAINER = "(?i)^(.*)/(?:chapter|episode|ep|ch)/[^/]+/?$"
 TAIL = f"(?i)^((?:/[^/]+){{2,}}?)(?:/(?:[0-9]+|{UUID}|(?:chapter|ch|episode|ep)[-_]?[0-9]+))+/?$"
