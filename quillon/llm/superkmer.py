@@ -114,7 +114,7 @@ def _merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _packer(common: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             at = 0
             for texts in parts(batch.column(2), SLICE_BYTES):
