@@ -123,14 +123,14 @@ class Slice:
 
     def __init__(self, row: dict, model: Model):
         n_words = np.frombuffer(row["n_words"], np.int32).astype(np.int64)
-        words = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.int32).astype(np.int64)
+        words = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.int32)
         hashes = np.frombuffer(row["hashes"], np.uint64)
         counts = np.frombuffer(row["counts"] or b"", np.int64)
         kind, share = model.of_words(hashes, np.frombuffer(row["suffixes"], np.uint8), counts)
         self.n = n_words + 1
-        self.document = np.repeat(np.arange(len(self.n)), self.n)
+        self.document = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         ends = np.cumsum(self.n) - 1
-        token = np.full(len(self.document), len(hashes))
+        token = np.full(len(self.document), len(hashes), np.int32)
         inner = np.ones(len(token), bool)
         inner[ends] = False
         token[inner] = words
@@ -138,8 +138,7 @@ class Slice:
         self.count = np.append(counts, model.ends)
         self.kind = np.append(kind, FREQUENT)
         self.share = np.append(share, 0.0)
-        spread = np.append(mix(hashes), _END)
-        self.spread = spread[token]
+        self.spread = np.append(mix(hashes), _END)
         self.begins = np.append(0, ends[:-1] + 1)
 
     def features(self, at: slice) -> np.ndarray:
@@ -147,8 +146,8 @@ class Slice:
         begin, end = at.start, min(at.stop, len(self.token))
         place = np.arange(begin, end) - self.begins[self.document[begin:end]]
         i = np.arange(begin, end)
-        one = np.where(place >= 1, self.spread[np.maximum(i - 1, 0)], np.uint64(1))
-        two = np.where(place >= 2, self.spread[np.maximum(i - 2, 0)], np.uint64(2))
+        one = np.where(place >= 1, self.spread[self.token[np.maximum(i - 1, 0)]], np.uint64(1))
+        two = np.where(place >= 2, self.spread[self.token[np.maximum(i - 2, 0)]], np.uint64(2))
         pair = mix(one * np.uint64(3) ^ two)
         size = np.uint64(HASHED)
         return np.stack([one % size, pair % size + size, two % size + size * np.uint64(2)], axis=1).astype(np.int64)
@@ -244,24 +243,27 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         below = np.log10(float(model.total + model.distinct + 1))
         for row in _rows(batches):
             own = Slice(row, model)
-            score = own.share[own.token]
-            for at in range(0, len(own.token), BATCH):
+            size = len(own.n)
+            single, sums = np.log10(own.count + 1.0) - below, np.zeros((3, size))
+            for at in range(0, len(own.token), BATCH):  # sums by document, so that only a batch is in memory
                 part = slice(at, at + BATCH)
+                token, document = own.token[part], own.document[part]
                 logs = _log_softmax(model.weights, own.features(part))
-                score[part] += logs[np.arange(len(logs)), own.kind[own.token[part]]] / np.log(10)
-            c = own.count[own.token]
-            base = np.log10(c + 1.0) - below
-            size = len(own.n)
+                score = own.share[token] + logs[np.arange(len(logs)), own.kind[token]] / np.log(10)
+                first = document[0]
+                for k, value in enumerate((own.count[token] > 0, single[token], score)):
+                    found = np.bincount(document - first, value)
+                    sums[k, first : first + len(found)] += found
             ids = pa.array(row["doc_ids"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
                     pa.array(_held(ids, folds, fold)),
                     pa.array(own.n),
-                    pa.array(np.bincount(own.document, c > 0, size).astype(np.int64)),
+                    pa.array(sums[0].astype(np.int64)),
                     pa.array(np.full(size, model.total, np.int64)),
-                    pa.array(np.bincount(own.document, base, size)),
-                    pa.array(np.bincount(own.document, score, size)),
+                    pa.array(sums[1]),
+                    pa.array(sums[2]),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
