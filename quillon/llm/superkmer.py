@@ -5,7 +5,7 @@ very common count as larger than all others. Consecutive windows of a text with
 string of their words, to the minimiser's bucket. All windows with equal words have the same minimiser and so meet in one
 bucket, where sorting their 128-bit hashes counts them; which ones are repeated goes back to their documents as word ranges.
 
-Strings that occur twice in one batch of a task are known to be repeated there: they are sent once, so a group of copies sends
+Strings of which all words occur twice in one batch of a task are known to be repeated there: they are sent once, so a group of copies sends
 about one string a task however large it is. Buckets are as many as the input needs. Common grams, which would fill one bucket,
 are counted first, and at most `COMMON` of them kept: that choice moves work between buckets but changes no result.
 
@@ -135,8 +135,13 @@ def _packer(common: np.ndarray, buckets: int):
                 run_of = np.cumsum(cut) - 1
                 begin = np.flatnonzero(cut | ((np.arange(len(row)) - begin[run_of]) % LONGEST == 0))
                 size = np.diff(begin, append=len(row))
-                whole = rolled(value, WINDOW, _P1)
-                key = np.stack([whole[first[begin]], whole[first[begin + size - 1]], least[begin] ^ mix(size.astype(np.uint64))], axis=1)
+                # Two polynomial hashes over the hashes of all windows of a string, so that strings alike here have equal words.
+                power = np.arange(len(row)) - np.repeat(begin, size)
+                key = np.empty((len(begin), 3), np.uint64)
+                for j, p in enumerate((_P1, _P2)):
+                    powers = np.cumprod(np.full(LONGEST, np.uint64(p), np.uint64))
+                    key[:, j] = np.add.reduceat(rolled(value, WINDOW, p)[first] * powers[power], begin)
+                key[:, 2] = least[begin] ^ mix(size.astype(np.uint64))
                 _, one, which, n = np.unique(key, axis=0, return_index=True, return_inverse=True, return_counts=True)
                 which = which.reshape(-1)
                 again = n[which] > 1
