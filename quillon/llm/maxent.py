@@ -33,7 +33,7 @@ FREQUENT, SUFFIXES = 23, 32
 #: The end's class comes after the frequent tokens' and before the suffixes'.
 CLASSES = FREQUENT + 1 + SUFFIXES
 #: Hashed features of each of the three kinds; the last row of weights is the bias.
-HASHED = 1024
+HASHED = 4096
 ROUNDS, STEP, BATCH = 2, 0.2, 32_768
 SLICE_BYTES = 1 << 24
 _ROWS = 3 * HASHED + 1

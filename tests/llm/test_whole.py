@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import collections
 
-from quillon.llm import superkmer
+import numpy as np
+import zstandard
+
+from quillon.llm import maxent, superkmer
 
 
 def test_op8_copies_that_differ_inside_a_repeated_line(spark):
@@ -22,3 +25,16 @@ def test_op8_copies_that_differ_inside_a_repeated_line(spark):
     for i, w in split.items():
         gone = {p for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
         assert got[i] == (len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+
+
+def test_op7_tells_thousands_of_contexts_apart():
+    n = 40_000
+    rng = np.random.default_rng(0)
+    hashes = np.sort(rng.integers(0, 1 << 62, n)).astype(np.uint64)
+    row = {
+        "n_words": np.array([n], np.int32).tobytes(), "words": zstandard.compress(rng.permutation(n).astype(np.int32).tobytes()), "hashes": hashes.tobytes(),
+        "suffixes": np.zeros(n, np.uint8).tobytes(), "counts": np.ones(n, np.int64).tobytes(),
+    }
+    model = maxent.Model(n, n, 1, {}, {0: (n, n)})
+    features = maxent.Slice(row, model).features(slice(0, n + 1))
+    assert all(len(np.unique(features[:, k])) > 4000 for k in range(3)) and features.max() < len(model.weights) - 1
