@@ -2,9 +2,14 @@
 
 A tree builder turns tags into properly nested elements: it closes paragraphs, list items, cells and rows that HTML leaves open,
 opens rows that it leaves out, and ignores end tags that match nothing. A renderer takes the elements in order and writes all text
-that is visible. Not visible are the head, scripts, styles and templates; elements that are hidden by attribute, by their style or
-by a simple selector of the page's own style sheet; and what closed details hold besides their summary. Both parts work on a
-stack, so depth is bounded by memory alone.
+that is visible. Not visible are the head, scripts, styles and templates; what noscript, frames, players, canvases and objects hold
+for browsers without them; suggestions of a datalist; elements that are hidden by attribute, by their style or by a simple selector of
+the page's own style sheet; and what closed details hold besides their summary. Of a drawing its text elements are visible, of a formula
+all but its annotations, of a drop-down its chosen option and of a list box all options. Both parts work on a stack, so depth is bounded
+by memory alone.
+
+Rules of a style sheet hold outside at-blocks, in @layer, and in an @media that holds for a screen of `SCREEN` pixels; a condition that
+is not understood does not hold, so that its rules hide nothing.
 
 Cells of a table column start in one place; cells longer than `WIDEST` are written as they are and align nothing.
 
@@ -25,11 +30,23 @@ from pyspark.sql import functions as F
 from .common import lean, table
 
 WIDEST = 60
+SCREEN = {"width": 1280, "height": 720}
 
 # Element names of the HTML standard by their part in layout and parsing.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math select".split())
+_UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas object".split())
+_FOREIGN = frozenset("svg math select".split())
+_FORM = frozenset("select option optgroup".split())
+#: Parts of a drawing that are not drawn where they stand.
+_SVG_UNSEEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient".split())
+_SVG_TEXT, _SVG_HTML, _MATH_HTML = frozenset(("text",)), frozenset(("foreignobject",)), frozenset("mi mo mn ms mtext annotation-xml".split())
+_MATH_UNSEEN = frozenset(("annotation", "annotation-xml"))
+#: Start tags that end a drawing or formula.
+_BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: States of Element.foreign.
+_HTML, _DRAWN, _LABEL, _FORMULA = range(4)
+_KEPT = frozenset(("pre", "textarea", "xmp"))
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 _BLOCK = _SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav section summary caption tr td th thead tbody tfoot option".split())
 _ENDS_P = (_SPACED | frozenset("address article aside center details dialog dd div dt figcaption footer form header hgroup li main menu nav section summary".split())) - {"table"}
@@ -41,12 +58,67 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NEEDS_ATTRIBUTES = re.compile(r"hidden|style|class|id|start|value|colspan|open|reversed", re.IGNORECASE)
 _DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*[a-z]", re.IGNORECASE)
+#: What stands before a block of a style sheet or ends one: a statement, a block's beginning, its end.
+_CSS = re.compile(r"([^{};]*)([{};]|\Z)")
+_CSS_STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
+_FEATURE = re.compile(r"\(\s*(?:(min|max)-)?(width|height)\s*:\s*([0-9.]+)(px|em|rem)\s*\)")
+_ORIENTATION = re.compile(r"\(\s*orientation\s*:\s*(landscape|portrait)\s*\)")
 _SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 
 
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on a screen."""
+    css, holds, selectors = _CSS_STRING.sub("''", _COMMENT.sub("", css)), [True], ""
+    body: list[str] | None = None
+    for m in _CSS.finditer(css):
+        before, mark = m[1].strip(), m[2]
+        if body is not None:  # in a rule; blocks nested in it are passed over
+            depth += (mark == "{") - (mark == "}")
+            if depth == 1 and mark == ";" or depth == 0 or not mark:
+                body.append(before)
+            if depth == 0 or not mark:
+                if holds[-1]:
+                    yield selectors, ";".join(body)
+                body = None
+        elif mark == "{" and before.startswith("@"):
+            name, _, condition = before[1:].replace("(", " (", 1).partition(" ")
+            name = name.lower()
+            holds.append(holds[-1] and (name == "layer" or (name == "media" and _media(condition.lower()))))
+        elif mark == "{":
+            selectors, body, depth = before, [], 1
+        elif mark == "}" and len(holds) > 1:
+            holds.pop()
+
+
+def _media(condition: str) -> bool:
+    """Whether a list of media queries is known to hold on a screen of SCREEN pixels."""
+    return not condition.strip() or any(_query(q.strip()) for q in condition.split(","))
+
+
+def _query(query: str) -> bool:
+    known = [_known(part.strip()) for part in re.split(r"\band\b", re.sub(r"^(?:not|only)\s+", "", query))]
+    if re.match(r"not\s", query):  # holds if a part is known not to
+        return False in known
+    return all(known)
+
+
+def _known(part: str) -> bool | None:
+    """Whether one condition holds; None if it is not understood."""
+    if part in ("all", "screen"):
+        return True
+    if re.fullmatch(r"print|speech|aural|braille|embossed|handheld|projection|tty|tv", part):
+        return False
+    if m := _ORIENTATION.fullmatch(part):
+        return (m[1] == "landscape") == (SCREEN["width"] >= SCREEN["height"])
+    if (m := _FEATURE.fullmatch(part)) and re.fullmatch(r"[0-9]+(?:\.[0-9]+)?|\.[0-9]+", m[3]):
+        own, value = SCREEN[m[2]], float(m[3]) * (1 if m[4] == "px" else 16)
+        return own >= value if m[1] == "min" else own <= value if m[1] == "max" else own == value
+    return None
+
+
 class Flow:
     """Lines of one containing block."""
 
@@ -110,11 +182,12 @@ class Flow:
 
 
 class Element:
-    __slots__ = ("name", "gone", "unseen", "flow", "rows", "number", "step", "marker", "span", "closed")
+    __slots__ = ("name", "gone", "unseen", "flow", "rows", "number", "step", "marker", "span", "closed", "kept", "foreign", "options", "label", "chosen")
 
     def __init__(self, name: str, gone: bool, unseen: bool):
         self.name, self.gone, self.unseen = name, gone, unseen
         self.flow, self.rows, self.number, self.step, self.marker, self.span, self.closed = None, None, None, 1, "", 1, False
+        self.kept, self.foreign, self.options, self.label, self.chosen = False, _HTML, None, None, None
 
 
 class Page:
@@ -126,12 +199,17 @@ class Page:
 
     # Style sheets.
     def sheet(self, css: str) -> None:
-        for selectors, body in _RULE.findall(_COMMENT.sub("", css)):
+        for selectors, body in rules(css):
             rule = "gone" if _DISPLAY_NONE.search(body) else (m[1].lower() if (m := _VISIBILITY.search(body)) else "")
-            if rule:
+            shown = not rule and _DISPLAY.search(body)
+            if rule or shown:
                 for s in selectors.split(","):
                     if _SIMPLE.fullmatch(s := s.strip()):
-                        self.hide[s if s[0] in ".#" else s.lower()] = rule
+                        key = s if s[0] in ".#" else s.lower()
+                        if rule:
+                            self.hide[key] = rule
+                        elif self.hide.get(key) == "gone":  # a later rule shows it again
+                            del self.hide[key]
 
     def _seen(self, name: str, attributes: dict[str, str]) -> tuple[bool, bool]:
         """Whether a new element is gone, and whether it is unseen but may hold visible ones."""
@@ -171,7 +249,10 @@ class Page:
 
     _BOUNDS = frozenset(("table", "td", "th", "caption", "button"))
 
-    def start(self, name: str, attributes: dict[str, str]) -> None:
+    def start(self, name: str, attributes: dict[str, str], empty: bool = False) -> None:
+        if self.stack[-1].foreign and name in _BREAKS:
+            while self.stack[-1].foreign:
+                self._leave(self.stack.pop())
         if name in _ENDS_P:
             self._close({"p"}, self._BOUNDS)
         if name in _HEADINGS and self.stack[-1].name in _HEADINGS:
@@ -189,7 +270,11 @@ class Page:
         elif name in _SECTIONS:
             self._close(_SECTIONS | {"caption"}, {"table"})
         elif name == "option":
-            self._close({"option"}, {"select"})
+            self._close({"option"}, {"select", "datalist"})
+        elif name == "optgroup":
+            self._close({"optgroup"}, {"select"})
+        elif name in ("select", "input", "textarea"):
+            self._close({"select"}, self._BOUNDS)
         elif name == "body":
             self._close({"head"}, set())
         elif name not in _UNSEEN and name in _BLOCK and name not in ("html", "head"):
@@ -204,10 +289,30 @@ class Page:
                     self.flows[-1].add(["---"])
                     self.flows[-1].edge(True)
             return
+        up = self.stack[-1]
+        element.kept = up.kept or name in _KEPT
+        element.foreign = self._foreign(up.foreign, name)
+        if up.foreign:
+            element.gone |= name in (_MATH_UNSEEN if up.foreign == _FORMULA else _SVG_UNSEEN)
+        if empty and (up.foreign or name in ("svg", "math")):
+            return
         self.stack.append(element)
         if element.gone:
             return
         flow = self.flows[-1]
+        if element.foreign == _LABEL and up.foreign == _DRAWN:
+            flow.edge(False)
+        if name == "select":
+            size = _number(attributes.get("size"), 1)
+            element.options, element.chosen = [], "multiple" in attributes or size > 1
+        elif name in ("option", "optgroup") and (owner := self._owner("select")):
+            element.label = None if element.unseen else attributes.get("label")
+            if name == "optgroup":
+                owner.options.append(([element.label or ""], None))
+                return
+            element.flow, element.chosen = Flow(), (2 if "selected" in attributes else 0 if "disabled" in attributes else 1)
+            self.flows.append(element.flow)
+            return
         if name in _BLOCK:
             nested = name in ("ul", "ol") and any(e.name == "li" and not e.gone for e in self.stack[:-1])
             flow.edge(name in _SPACED and not nested)
@@ -233,6 +338,29 @@ class Page:
             elif name in _CELLS:
                 element.span = max(1, min(_number(attributes.get("colspan"), 1), 1000))
 
+    @staticmethod
+    def _foreign(up: int, name: str) -> int:
+        """Whether an element is part of a drawing, its text or a formula."""
+        if name == "svg":
+            return _DRAWN
+        if up in (_DRAWN, _LABEL):
+            return _HTML if name in _SVG_HTML else _LABEL if name in _SVG_TEXT else up
+        if name == "math":
+            return _FORMULA
+        return _HTML if up == _FORMULA and name in _MATH_HTML else up
+
+    def _choose(self, element: Element) -> None:
+        """Write what a drop-down or list box shows."""
+        if element.chosen:
+            for lines, _ in element.options:
+                self.flows[-1].edge(False)
+                self.flows[-1].add([line for line in lines if line])
+            return
+        best = max((k or 0 for _, k in element.options), default=0)
+        found = [lines for lines, k in element.options if k == best and best]
+        if found:
+            self.flows[-1].text(" ".join(found[-1] if best == 2 else found[0]))
+
     def _owner(self, name: str) -> Element | None:
         return next((e for e in reversed(self.stack[:-1]) if e.name == name and not e.gone), None)
 
@@ -246,7 +374,7 @@ class Page:
             return
         stop = {"table"} if name in _CELLS | _SECTIONS | {"tr", "caption"} else set() if name in ("table", "body", "html") else set(self._BOUNDS)
         at = self._find({name}, stop - {name})
-        if at and (name in _BLOCK or name in _UNSEEN or not any(e.name in _BLOCK for e in self.stack[at + 1 :])):
+        if at and (name in _BLOCK or name in _UNSEEN or name in _FOREIGN or not any(e.name in _BLOCK for e in self.stack[at + 1 :])):
             self._close_to(at)
 
     def _leave(self, element: Element) -> None:
@@ -255,6 +383,10 @@ class Page:
         if element.flow is not None:
             self.flows.pop()
             lines = element.flow.done()
+            if element.name == "option":
+                if owner := next((e for e in reversed(self.stack) if e.name == "select" and not e.gone), None):
+                    owner.options.append(([element.label] if element.label else lines, element.chosen))
+                return
             if element.name in _CELLS:
                 if owner := next((e for e in reversed(self.stack) if e.name == "table" and not e.gone), None):
                     if not owner.rows:
@@ -265,18 +397,22 @@ class Page:
             self.flows[-1].add(lines, marker, " " * len(marker))
         elif element.rows is not None:
             self.flows[-1].add(aligned(element.rows))
+        elif element.options is not None:
+            self._choose(element)
+        elif element.foreign == _LABEL and element.name in _SVG_TEXT:
+            self.flows[-1].edge(False)
         if element.name in _BLOCK:
             nested = element.name in ("ul", "ol") and any(e.name == "li" and not e.gone for e in self.stack)
             self.flows[-1].edge(element.name in _SPACED and not nested)
 
     def text(self, text: str) -> None:
         top = self.stack[-1]
-        if top.gone or top.closed or top.unseen or not text:
+        if top.gone or top.closed or top.unseen or top.foreign == _DRAWN or not text:
             return
         text = html.unescape(text) if "&" in text else text
-        if any(e.name in ("pre", "textarea", "xmp") for e in self.stack[-8:]):
+        if top.kept:
             self.flows[-1].kept(text)
-        elif top.name in ("table", "tr", "thead", "tbody", "tfoot") and not text.strip():
+        elif top.name in ("table", "tr", "thead", "tbody", "tfoot") and not text.strip() or top.name in ("select", "optgroup"):
             return
         else:
             self.flows[-1].text(text)
@@ -327,9 +463,9 @@ def render(source: str | None) -> str:
             page.end(name)
             continue
         attributes = {}
-        if rest and _NEEDS_ATTRIBUTES.search(rest):
+        if rest and (name in _FORM or _NEEDS_ATTRIBUTES.search(rest)):
             attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(rest))}
-        page.start(name, attributes)
+        page.start(name, attributes, rest.endswith("/"))
         if name in _RAW:
             end = re.compile(f"</{name}(?=[\\s/>])|\\Z", re.IGNORECASE).search(source, at)
             raw = source[at : end.start()]

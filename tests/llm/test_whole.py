@@ -5,9 +5,10 @@ from __future__ import annotations
 import collections
 
 import numpy as np
+import pytest
 import zstandard
 
-from quillon.llm import maxent, superkmer
+from quillon.llm import html_layout, maxent, superkmer
 
 
 def test_op8_copies_that_differ_inside_a_repeated_line(spark):
@@ -38,3 +39,23 @@ def test_op7_tells_thousands_of_contexts_apart():
     model = maxent.Model(n, n, 1, {}, {0: (n, n)})
     features = maxent.Slice(row, model).features(slice(0, n + 1))
     assert all(len(np.unique(features[:, k])) > 4000 for k in range(3)) and features.max() < len(model.weights) - 1
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<style>@media print{.nav{display:none}} @media (max-width:600px){aside{display:none}}</style><p class=nav>home<aside>more</aside>", "home\n\nmore"),
+        ("<style>@media screen and (min-width:600px){.a{display:none}} .b{display:none} @font-face{src:x} #c{display:none}</style>x<i class=a>a</i><i class=b>b</i><i id=c>c</i>", "x"),
+        ("<style>@import 'x'; @supports (display:grid){.a{display:none}} @media not print{@media print{.a{display:none}} .b{display:none}}</style><i class=a>a</i><i class=b>b</i>", "a"),
+        ("<style>.m{display:none} @media (min-width:600px){.m{display:block}}</style><i class=m>menu</i>", "menu"),
+        ("<p>for <math><mi>x</mi><mo>=</mo><semantics><mn>1</mn><annotation>tex</annotation></semantics></math> only", "for x=1 only"),
+        ("<svg><title>no</title><defs><text>no</text></defs><rect/>no<g><text x=1>one <tspan>two</tspan></text><text>three</text></g></svg>after", "one two\nthree\nafter"),
+        ("<svg><foreignObject><p>in</p></foreignObject><desc>no</desc></svg><svg/>b<svg><path><p>out", "in\n\nb\n\nout"),
+        ("size <select><option>S<option selected>M<option>L</select> left", "size M left"),
+        ("size <select><option disabled>pick<option>S<option>L</select> left", "size S left"),
+        ("<select multiple><optgroup label=all><option>S<option label=large>L</select>left", "all\nS\nlarge\nleft"),
+        ("<pre>" + "<b>" * 12 + "a   b\n  c" + "</b>" * 12 + "</pre>d   e", "a   b\n  c\n\nd e"),
+    ],
+)
+def test_op6_shows_all_visible_text(page, want):
+    assert html_layout.render(page) == want
