@@ -1,12 +1,12 @@
-"""TIFF columns: write bytes as grey pages, and read any baseline file's pages back.
+"""TIFF columns: write bytes as grey pages, and read a baseline file's pages back, but for CCITT compression.
 
 The reader walks the chain of image directories in either byte order, decodes strips or tiles that are raw, PackBits, LZW or
-deflate, undoes the horizontal predictor and emits one row a page. The writer lays a payload out as pages of 96 pixels a row;
+deflate, undoes the horizontal predictor of 8-bit samples and emits one row a page, with a byte for each sample of 1, 2, 4 or 8 bits. The writer lays a payload out as pages of 96 pixels a row;
 the payload's own hash picks each page's layout and compression, so that equal payloads give equal files and a corpus uses all
 of them.
 
-Defined cases: a null file gives no rows; a damaged file gives the pages before the damage and one row with `error` set and no
-pixels; a directory chain that returns to itself is damage; an empty table gives no rows; a null text is stored like an empty
+Defined cases: a null file gives no rows; a page that cannot be decoded gives a row with `error` set and no pixels, and the pages
+after it are read; where the chain of directories is damaged, one such row is the file's last; a chain that returns to itself is damage; an empty table gives no rows; a null text is stored like an empty
 one; columns other than those named are ignored.
 """
 
@@ -196,8 +196,8 @@ class Page:
 _TYPES = {1: "B", 3: "H", 4: "I"}
 
 
-def read_tiff(data: bytes) -> Iterator[Page]:
-    """The file's pages, in the order of their directories."""
+def read_tiff(data: bytes) -> Iterator[Page | ValueError]:
+    """The file's pages, in the order of their directories; what is wrong with a page that cannot be decoded stands in its place."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
         raise ValueError("no TIFF header")
@@ -221,7 +221,11 @@ def read_tiff(data: bytes) -> Iterator[Page]:
             (following,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
         except struct.error as e:
             raise ValueError("directory outside the file") from e
-        yield _page(data, tags)
+        try:
+            page = _page(data, tags)
+        except ValueError as e:
+            page = e
+        yield page
         at = following
 
 
@@ -231,7 +235,9 @@ def _page(data: bytes, tags: dict[int, tuple]) -> Page:
 
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     compression, predictor, tiled = one(259, RAW), one(317, 1), 324 in tags
-    if not width or not height or set(tags.get(258, (1,))) != {8} or predictor not in (1, 2) or one(284, 1) != 1:
+    bits = one(258, 1)
+    known = set(tags.get(258, (1,))) == {bits} and (bits == 8 or (bits in (1, 2, 4) and predictor == 1 and one(266, 1) == 1))
+    if not width or not height or not known or predictor not in (1, 2) or one(284, 1) != 1:
         raise ValueError("page of a kind that isn't read")
     across, down = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
     if not across or not down:
@@ -245,9 +251,13 @@ def _page(data: bytes, tags: dict[int, tuple]) -> Page:
         y, x = i // columns * down, i % columns * across
         rows = down if tiled else min(down, height - y)
         block = _unpack(data[offsets[i] : offsets[i] + lengths[i]], compression)
-        if len(block) < rows * across * samples:
+        line = -(-across * samples * bits // 8)
+        if len(block) < rows * line:
             raise ValueError("part that ends early")
-        block = np.frombuffer(block, np.uint8, rows * across * samples).reshape(rows, across, samples)
+        block = np.frombuffer(block, np.uint8, rows * line).reshape(rows, line)
+        if bits < 8:  # each line begins with a byte of its own
+            block = (block[:, :, None] >> np.arange(8 - bits, -1, -bits, dtype=np.uint8) & ((1 << bits) - 1)).reshape(rows, -1)[:, : across * samples]
+        block = block.reshape(rows, across, samples)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
         page[y : y + rows, x : x + across] = block[: height - y, : width - x]
@@ -305,6 +315,10 @@ def _page_rows(doc_id: int | None, media: bytes) -> Iterator[tuple]:
     page = 0
     try:
         for p in read_tiff(media):
+            if isinstance(p, ValueError):
+                yield doc_id, page, None, None, None, None, None, None, None, str(p)
+                page += 1
+                continue
             yield doc_id, page, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None
             page += 1
     except ValueError as e:

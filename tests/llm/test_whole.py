@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import collections
+import struct
 
 import numpy as np
 import pytest
 import zstandard
 
-from quillon.llm import html_layout, maxent, superkmer
+from quillon.llm import html_layout, maxent, superkmer, tiff
 
 
 def test_op8_copies_that_differ_inside_a_repeated_line(spark):
@@ -59,3 +60,24 @@ def test_op7_tells_thousands_of_contexts_apart():
 )
 def test_op6_shows_all_visible_text(page, want):
     assert html_layout.render(page) == want
+
+
+def test_op4_reads_pages_after_one_that_cannot_be_decoded():
+    pages = [(1, 1, b"\xa5\x80\x5a\x00"), (16, 1, bytes(36)), (4, 1, bytes(range(10))), (8, 7, b"?"), (2, 1, bytes(range(6))), (8, 1, bytes(range(18)))]
+    data, link = b"II*\0" + struct.pack("<I", 0), 4
+    for bits, compression, raw in pages:
+        at, where = len(data), struct.pack("<I", len(data) + len(raw))
+        tags = [(256, 9), (257, 2), (258, bits), (259, compression), (273, at), (277, 1), (278, 2), (279, len(raw))]
+        data = data[:link] + where + data[link + 4 :] + raw + struct.pack("<H", len(tags))
+        data += b"".join(struct.pack("<HHII", tag, 4, 1, value) for tag, value in tags)
+        link = len(data)
+        data += struct.pack("<I", 0)
+    got = [(r[1], r[2], r[8], r[9] is not None) for r in tiff._page_rows(1, data)]
+
+    def samples(bits, raw):
+        half = [raw[: len(raw) // 2], raw[len(raw) // 2 :]]
+        lines = ["".join(f"{x:08b}" for x in part) for part in half]
+        return bytes(int(line[k * bits : (k + 1) * bits], 2) for line in lines for k in range(9))
+
+    want = [(i, None, None, True) if i in (1, 3) else (i, 9, samples(bits, raw), False) for i, (bits, _, raw) in enumerate(pages)]
+    assert got == want
