@@ -39,8 +39,8 @@ SELECT event_type, user_id, event_id, n, round(bytes, 4) AS bytes FROM t WHERE t
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of each key after all its writes: the latest full row once there is one, else the latest partial with the first
-    nonempty source; a partial write after a full one only renews the access time."""
+    """The row of each key after all its writes: the latest full row once there is one, else the latest partial; a partial write after
+    a full one only renews the access time."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", F.col("event_type").isin("view", "error").alias("partial"))
     g = e.groupBy("user_id").agg(
         F.max("ts").alias("atime"),
