@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is absent, as in tests on one machine, a folder of the machine's own is used.
+    Only where the setting is absent and the master is this machine, as in tests, a folder of the machine's own is used;
+    on a cluster that would lose what other machines wrote, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -41,7 +44,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.work_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise wrote for these tables, which nothing may read any more."""
+    for df in tables:
+        drop_work(df.sparkSession, df.work_path)
 
 
 def drop_work(spark: SparkSession, path: str) -> None:

@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 #: Default vocabulary; only its path is used, the file is never copied.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by one worker; beyond it the memory starts anew.
-MEMORY = 300_000
+#: Pieces remembered by one task; beyond it the memory starts anew.
+MEMORY = 200_000
 
 # Letters and numbers of Unicode below U+0250, as the splitting pattern's \p{L} and \p{N} take them.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -69,12 +69,6 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
-    """The worker's encoder for a vocabulary; it outlives single tasks."""
-    path = path or vocabulary_path()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """An encoder for one task; what it remembers goes with the task, since workers outlive tasks."""
+    return Encoder(path)

@@ -10,8 +10,9 @@ that tell the labels of the training rows apart most. It is fitted on at most `F
 smallest hash of their doc_id, never on held-out ones; the trigram counts cover every text.
 
 Defined cases: null and empty texts get the score of a text without any such word; without usable labels every score is 0;
-several labels of a document count as their largest; null labels are ignored; repeated rows are each scored; null doc_ids are
-scored and not held out; other columns are ignored.
+several labels of a document count as their largest; null labels are ignored; repeated rows are each scored, but of rows that
+share a doc_id only the one with the smallest text is learned from; null doc_ids are scored and not held out; other columns are
+ignored, and one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ FIT_ROWS = 20_000
 FEATURES, SUPPORT = 1024, 8
 PREFIXES = range(3, 9)
 #: Surfaces whose features one worker remembers; beyond it the memory starts anew.
-MEMORY = 200_000
+MEMORY = 100_000
+#: Distinct sequences whose counts a worker holds before it sends them on; the shuffle adds up what is sent.
+HELD = 50_000
 
 # Letters that characters are commonly used in place of.
 _STANDS_FOR = {
@@ -195,20 +198,29 @@ def _chosen(sample: DataFrame, model: np.ndarray) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, by, rows = Decoder(model), (Counter(), Counter()), [0, 0]
-        known: dict[str, list[str]] = {}
+        known: dict[str, str] = {}
+
+        def sums() -> pa.RecordBatch:
+            names = list(by[0].keys() | by[1].keys())
+            out = [pa.array(names, pa.string()), *(pa.array([own[s] for s in names], pa.int64()) for own in by)]
+            for own in by:
+                own.clear()
+            return pa.RecordBatch.from_arrays(out, ["s", "n0", "n1"])
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = set()
+                own: set[str] = set()
                 for surface in surfaces(text.as_py() or ""):
                     if surface not in known:
-                        known[surface] = sequences(decoder.restore(surface))
-                    own.update(known[surface])
+                        if len(known) > HELD:
+                            known.clear()
+                        known[surface] = decoder.restore(surface)
+                    own.update(sequences(known[surface]))
                 by[toxic].update(own)
                 rows[toxic] += 1
-        names = list(by[0].keys() | by[1].keys())
-        for at in range(0, len(names), 100_000):
-            part = names[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([by[0][s] for s in part], pa.int64()), pa.array([by[1][s] for s in part], pa.int64())], ["s", "n0", "n1"])
+                if len(by[0]) + len(by[1]) > HELD:
+                    yield sums()
+        yield sums()
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([rows[0]], pa.int64()), pa.array([rows[1]], pa.int64())], ["s", "n0", "n1"])
 
     counted = sample.select("text", "toxic").mapInArrow(lean(count), "s string, n0 bigint, n1 bigint").groupBy("s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -230,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", folds, fold))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # fit_rows rows at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # a broadcast of fit_rows ids and labels at most
+    # Of rows that share a doc_id one is learned from, so that the sample has fit_rows rows at most.
+    sample = materialise(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "labelled")
     names = _chosen(sample, model)
     index = {s: i for i, s in enumerate(names)}
 
