@@ -6,8 +6,8 @@ import collections
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
-import zstandard
 
 from quillon.llm import html_layout, maxent, superkmer, tiff
 
@@ -29,17 +29,87 @@ def test_op8_copies_that_differ_inside_a_repeated_line(spark):
         assert got[i] == (len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
 
 
+def one_slice(texts, ids=None):
+    """A slice's row with its counts, as training reads it, when there is no other."""
+    ids = list(range(len(texts))) if ids is None else ids
+    row = maxent._slice_row(0, pa.array(ids, pa.int64()), pa.array(texts, pa.string()), 7, 2).to_pylist()[0]
+    block = next(maxent._blocks(1)(iter([pa.RecordBatch.from_pylist([row])])))
+    rows = maxent._counts(pa.Table.from_batches([block])).to_pylist()
+    return row | {"counts": [r["counts"] for r in rows if r["slice"] is not None]}, rows[-1]
+
+
+def model_of(row, totals, hashed=None):
+    cell_n, cell_v = np.array(totals["cell_n"]), np.array(totals["cell_v"])
+    n, v = int(cell_n.sum()) + row["train_docs"], int(cell_v.sum()) + 1
+    for t in totals["top"]:
+        cell_n[t["cell"]] -= t["c"]
+        cell_v[t["cell"]] -= 1
+    return maxent.Model(n, v, row["train_docs"], [t["hash"] for t in totals["top"]], cell_n, cell_v, hashed)
+
+
 def test_op7_tells_thousands_of_contexts_apart():
-    n = 40_000
     rng = np.random.default_rng(0)
-    hashes = np.sort(rng.integers(0, 1 << 62, n)).astype(np.uint64)
-    row = {
-        "n_words": np.array([n], np.int32).tobytes(), "words": zstandard.compress(rng.permutation(n).astype(np.int32).tobytes()), "hashes": hashes.tobytes(),
-        "suffixes": np.zeros(n, np.uint8).tobytes(), "counts": np.ones(n, np.int64).tobytes(),
-    }
-    model = maxent.Model(n, n, 1, {}, {0: (n, n)})
-    features = maxent.Slice(row, model).features(slice(0, n + 1))
-    assert all(len(np.unique(features[:, k])) > 4000 for k in range(3)) and features.max() < len(model.weights) - 1
+    text = " ".join(f"w{i}" for i in rng.permutation(40_000))
+    row, totals = one_slice([text])
+    model = model_of(row, totals)
+    own = maxent.Slice(row, model)
+    context = own.context(slice(0, 40_001))
+    features = own.features(context)
+    assert all(len(np.unique(f)) > 4000 for f in features) and features.max() < len(model.weights) - 1
+    kind = own.kind[own.token]
+    shared = kind > maxent.FREQUENT
+    inner = own.inner_features(tuple(c[shared] for c in context), kind[shared])
+    assert all(len(np.unique(f)) > 4000 for f in inner[:3]) and inner.max() < len(model.inner)
+
+
+def test_op7_features_grow_with_the_words():
+    sizes = [maxent.hashed_features(n) for n in (0, 10**6, 10**7, 10**9)]
+    assert sizes == [4096, 4096, 32_768, 65_536]
+
+
+def test_op7_scores_are_probabilities():
+    """The chances of all words, an unknown one in every cell and the end add up to one in any context."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 200, 30)) for _ in range(9)]
+    row, totals = one_slice(texts)
+    model = model_of(row, totals, hashed=64)
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    model.inner[:] = rng.normal(size=model.inner.shape)
+    own = maxent.Slice(row, model)
+    at = 17
+    context = own.context(slice(at, at + 1))
+    outer = maxent._softmax(model.weights, own.features(context), model.weights[-1])[0].astype(float)
+    total = outer[maxent.FREQUENT]  # the end
+    spare = np.ones((maxent.SUFFIXES, maxent.GROUPS))
+    for word in np.unique(own.token[own.token < len(own.kind) - 1]):
+        if own.count[word]:
+            kind, group = own.kind[word], own.group[word]
+            total += outer[kind] if kind < maxent.FREQUENT else 0.0
+            if kind > maxent.FREQUENT:
+                spare[kind - maxent.FREQUENT - 1, group] -= 10 ** own.share[word]
+                inside = maxent._softmax(model.inner, own.inner_features(context, np.array([kind])))[0]
+                total += outer[kind] * inside[group] * 10 ** own.share[word]
+    for kind in range(maxent.FREQUENT + 1, maxent.CLASSES):
+        inside = maxent._softmax(model.inner, own.inner_features(context, np.array([kind])))[0]
+        total += outer[kind] * float(inside @ spare[kind - maxent.FREQUENT - 1])
+    total += outer[len(totals["top"]) : maxent.FREQUENT].sum()
+    assert abs(total - 1) < 1e-5 and (spare >= -1e-12).all()
+
+
+def test_op7_steps_follow_the_gradient():
+    """A step on weights at zero moves them as plain sums over the batch say."""
+    rng = np.random.default_rng(2)
+    features, wanted = rng.integers(0, 6, (2, 50)), rng.integers(0, 4, 50)
+    trainer = maxent.Trainer(np.zeros((7, 4), np.float32))
+    trainer.step(features, wanted, biased=True)
+    want = np.zeros((7, 4))
+    for rows in (*features, np.full(50, 6)):
+        g = np.zeros((7, 4))
+        for r, y in zip(rows, wanted, strict=True):
+            g[r] += 0.25 - (np.arange(4) == y)
+        want -= [maxent.STEP * x / np.sqrt(1e-2 + (x * x).mean()) if x.any() else x for x in g]
+    same = np.setdiff1d(np.arange(7), np.intersect1d(*features))  # rows of both kinds take two steps
+    assert np.allclose(trainer.weights[same], want[same], atol=1e-5)
 
 
 @pytest.mark.parametrize(
