@@ -39,7 +39,7 @@ FREQUENT, SUFFIXES, GROUPS = 23, 32, 16
 CLASSES = FREQUENT + 1 + SUFFIXES
 #: Hashed features of each of the three kinds: one for so many distinct training words, and at least and at most so many in all.
 WORDS_A_FEATURE, LEAST_HASHED, MOST_HASHED = 512, 4096, 65_536
-ROUNDS, STEP, BATCH = 2, 0.2, 8192
+ROUNDS, STEP, BATCH = 2, 0.2, 16_384
 SLICE_BYTES = 1 << 23
 #: Words of slices that one counting task adds up, about.
 COUNTED_TOGETHER = 500_000
@@ -250,6 +250,23 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(i)[at].as_py() for i, name in enumerate(batch.schema.names)}
 
 
+def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows by groups, which begin at places `first` of the row numbers `order`.
+
+    Most groups are small: their members are added one by one for all groups at once, and only the few large ones by themselves.
+    """
+    size = np.diff(first, append=len(order))
+    out = values.take(order[first], axis=0)
+    taken, more = 1, np.flatnonzero(size > 1)
+    while len(more) > 64:
+        out[more] += values.take(order[first[more] + taken], axis=0)
+        taken += 1
+        more = more[size[more] > taken]
+    for i in more.tolist():
+        out[i] += values.take(order[first[i] + taken : first[i] + size[i]], axis=0).sum(axis=0)
+    return out
+
+
 class Trainer:
     """AdaGrad steps on one softmax; each row of weights has one step size."""
 
@@ -264,7 +281,7 @@ class Trainer:
             order = np.argsort(rows.astype(np.uint16) if small else rows, kind="stable")
             ranked = rows[order]
             first = np.flatnonzero(np.diff(ranked, prepend=-1))
-            self._move(ranked[first], np.add.reduceat(slope.take(order, axis=0), first, axis=0))
+            self._move(ranked[first], _sums(slope, order, first))
         if biased:
             self._move(np.array([len(self.weights) - 1]), slope.sum(axis=0, keepdims=True))
 
