@@ -7,11 +7,13 @@ Tokens inside pattern matches are observed. Loopy sum-product message passing, a
 once, gives the others' labels; those likelier than `SURE`
 that edges join to an observed token are added as spans.
 
-The factors are trained piecewise: each is the smoothed log count ratio of its own configurations, among the tokens of at most
-`FIT_DOCS` documents (all, where there are no more; else those whose text hash falls in that share), labelled by the patterns.
+The factors are trained piecewise: each is the smoothed log count ratio of its own configurations, among the tokens of about
+`FIT_DOCS` documents (all, where there are no more; else those whose hash of doc_id and text falls in that share, so that copies
+of one text are sampled like others), labelled by the patterns. The `SHAPES` commonest token shapes have factors of their own.
 
-Defined cases: null and empty texts have no spans; repeated rows are each searched; an empty table gives no rows; other columns
-are ignored.
+Defined cases: null and empty texts have no spans; digits of any number are read; repeated rows are each searched; ties between
+kinds go to the one listed first; an empty table gives no rows; a null doc_id is kept; other columns are passed on by find_spans,
+where one named spans is replaced, and ignored by op1.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import discard, lean, materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the factors are counted on, about; and shapes that are kept.
 FIT_DOCS, SHAPES = 50_000, 10_000
-ROUNDS, SURE = 10, 0.9
+ROUNDS, SURE = 30, 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -56,6 +58,11 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -69,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if not _MARK.search(text):
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(_is_byte(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and _luhn(d):
             out.append((2, *m.span()))
@@ -161,15 +168,16 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
         columns = list(zip(*seen, strict=True)) if seen else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["what", "shape", "l", "r", "n"])
 
-    some = docs.select("text").where(F.expr(f"pmod(xxhash64(text), {max(docs.count(), 1)}) < {int(fit_docs)}"))
-    counted = some.mapInArrow(lean(count), "what string, shape string, l int, r int, n bigint").groupBy("what", "shape", "l", "r").agg(F.sum("n").alias("n"))
-    shapes, pairs, total = {}, np.zeros((2, _STATES, _STATES)), np.zeros(_STATES)
-    for r in counted.orderBy(F.desc("n"), "shape", "l").limit(SHAPES).collect():
-        if r.what == "u":
-            shapes.setdefault(r.shape, np.zeros(_STATES))[r.l] += r.n
-            total[r.l] += r.n
-        else:
-            pairs["cs".index(r.what), r.l, r.r] += r.n
+    key = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
+    some = docs.where(F.pmod(key, F.lit(max(docs.count(), 1))) < int(fit_docs)).select("text")
+    counted = materialise(some.mapInArrow(lean(count), "what string, shape string, l int, r int, n bigint").groupBy("what", "shape", "l", "r").agg(F.sum("n").alias("n")), "field")
+    by_label = [F.sum(F.when(F.col("l") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(_STATES)]
+    ranked = counted.where("what = 'u'").groupBy("shape").agg(F.sum("n").alias("n"), *by_label).orderBy(F.desc("n"), "shape").limit(SHAPES)
+    shapes = {r.shape: np.array([r[f"n{k}"] for k in range(_STATES)], float) for r in ranked.collect()}
+    total, pairs = sum(shapes.values(), np.zeros(_STATES)), np.zeros((2, _STATES, _STATES))
+    for r in counted.where("what <> 'u'").collect():  # a row for two labels and a kind of edge
+        pairs["cs".index(r.what), r.l, r.r] += r.n
+    discard(counted)
     prior = (total + 1) / (total.sum() + _STATES)
     unseen = prior * np.array([1.0] + [0.1] * len(KINDS))
     factors = []
@@ -235,33 +243,41 @@ def _added(t: Tokens, p: np.ndarray, text: str) -> list[tuple[int, int, int]]:
 
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint,added:boolean>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())])
-#: Texts whose fields are solved at once.
-_TOGETHER = 2000
+#: Variables whose fields are solved at once, about; a longer text's field is solved by itself.
+_TOGETHER = 20_000
 
 
 def find_spans(docs: DataFrame, field: Field) -> DataFrame:
     """The rows of docs with `spans`: (kind, start, end, added), by kind and start; offsets count code points, end exclusive."""
 
-    def found(texts: list[str | None]) -> list[list[tuple]]:
-        base = [base_spans(t) if t else [] for t in texts]
-        graphs = [(i, tokens_of(t, base[i])) for i, t in enumerate(texts) if t and _MARK.search(t)]
-        graphs = [(i, g) for i, g in graphs if not all(g.labels)]
-        added: dict[int, list] = {}
+    def solved(graphs: list[tuple[int, Tokens, str]]) -> Iterator[tuple[int, list]]:
+        first = np.cumsum([0, *(len(g.spans) for _, g, _ in graphs)])
+        edges = np.array([(a + f, b + f, s) for f, (_, g, _) in zip(first, graphs, strict=False) for a, b, s in g.edges], np.int64).reshape(-1, 3)
+        p = marginals(field, [s for _, g, _ in graphs for s in g.shapes], np.array([x for _, g, _ in graphs for x in g.labels], np.int64), edges)
+        for f, (i, g, text) in zip(first, graphs, strict=False):
+            yield i, _added(g, p[f : f + len(g.spans)], text)
+
+    def found(texts: pa.Array) -> list[list[tuple]]:
+        base, graphs, size, added = [], [], 0, {}
+        for i, text in enumerate(texts):
+            text = text.as_py() or ""
+            base.append(base_spans(text))
+            if _MARK.search(text):
+                g = tokens_of(text, base[i])
+                if not all(g.labels):
+                    graphs.append((i, g, text))
+                    size += len(g.spans)
+            if size > _TOGETHER:
+                added.update(solved(graphs))
+                graphs, size = [], 0
         if graphs:
-            first = np.cumsum([0, *(len(g.spans) for _, g in graphs)])
-            edges = np.array([(a + f, b + f, s) for f, (_, g) in zip(first, graphs, strict=False) for a, b, s in g.edges], np.int64).reshape(-1, 3)
-            p = marginals(field, [s for _, g in graphs for s in g.shapes], np.array([x for _, g in graphs for x in g.labels], np.int64), edges)
-            for f, (i, g) in zip(first, graphs, strict=False):
-                added[i] = _added(g, p[f : f + len(g.spans)], texts[i])
-        return [[(k, a, b, extra) for k, a, b, extra in sorted([*((*s, False) for s in base[i]), *((*s, True) for s in added.get(i, []))])] for i in range(len(texts))]
+            added.update(solved(graphs))
+        return [sorted([*((*s, False) for s in own), *((*s, True) for s in added.get(i, []))]) for i, own in enumerate(base)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.schema.get_field_index("text")
-            for at in range(0, batch.num_rows, _TOGETHER):
-                part = batch.slice(at, _TOGETHER)
-                spans = [[dict(zip(("kind", "start", "end", "added"), s, strict=True)) for s in own] for own in found(part.column(column).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, pa.list_(_SPAN))], [*part.schema.names, "spans"])
+            spans = [[dict(zip(("kind", "start", "end", "added"), s, strict=True)) for s in own] for own in found(batch.column(batch.schema.get_field_index("text")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(_SPAN))], [*batch.schema.names, "spans"])
 
     docs = docs.drop("spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
