@@ -6,8 +6,9 @@ the payload's own hash picks each page's layout and compression, so that equal p
 of them.
 
 Defined cases: a null file gives no rows; a page that cannot be decoded gives a row with `error` set and no pixels, and the pages
-after it are read; where the chain of directories is damaged, one such row is the file's last; a chain that returns to itself is damage; an empty table gives no rows; a null text is stored like an empty
-one; columns other than those named are ignored.
+after it are read; where the chain of directories is damaged, one such row is the file's last; a chain that returns to itself is
+damage, an entry whose values lie outside the file counts as missing, and pages of 2 GB or more are not read; an empty table gives
+no rows; a null text is stored like an empty one; repeated rows give repeated rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -51,9 +52,10 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, most: int | None = None) -> bytes:
+    """The runs of data, or as many as give `most` bytes."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -101,12 +103,13 @@ def lzw(data: bytes) -> bytes:
     return bytes(out) + (bits << fill).to_bytes((filled + fill) // 8, "big")
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, most: int | None = None) -> bytes:
+    """What the codes stand for, or as many of them as give `most` bytes; without a first clear code the table starts plain."""
     out: list[bytes] = []
-    known: list[bytes] = []
-    bits, filled, width, at = 0, 0, 9, 0
+    known: list[bytes] = [*_SINGLE, b"", b""]
+    bits, filled, width, at, size = 0, 0, 9, 0, 0
     last = b""
-    while True:
+    while most is None or size < most:
         while filled < width:
             if at >= len(data):
                 return b"".join(out)
@@ -126,11 +129,13 @@ def unlzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code without meaning")
         out.append(word)
-        if last:
+        size += len(word)
+        if last and len(known) < 4096:
             known.append(last + word[:1])
             if len(known) == (1 << width) - 1 and width < 12:
                 width += 1
         last = word
+    return b"".join(out)
 
 
 def _pack(block: np.ndarray, compression: int, predictor: int) -> bytes:
@@ -209,6 +214,8 @@ def read_tiff(data: bytes) -> Iterator[Page | ValueError]:
         seen.add(at)
         try:
             (n,) = struct.unpack_from(f"{order}H", data, at)
+            if at + 6 + 12 * n > len(data):
+                raise ValueError("directory outside the file")
             tags = {}
             for i in range(n):
                 tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
@@ -217,7 +224,8 @@ def read_tiff(data: bytes) -> Iterator[Page | ValueError]:
                     where = at + 10 + 12 * i
                     if struct.calcsize(form) > 4:
                         (where,) = struct.unpack_from(f"{order}I", data, where)
-                    tags[tag] = struct.unpack_from(form, data, where)
+                    if where + struct.calcsize(form) <= len(data):  # else the entry is damaged and counts as missing
+                        tags[tag] = struct.unpack_from(form, data, where)
             (following,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
         except struct.error as e:
             raise ValueError("directory outside the file") from e
@@ -225,20 +233,24 @@ def read_tiff(data: bytes) -> Iterator[Page | ValueError]:
             page = _page(data, tags)
         except ValueError as e:
             page = e
+        except MemoryError:
+            page = ValueError("page too large for memory")
         yield page
         at = following
 
 
 def _page(data: bytes, tags: dict[int, tuple]) -> Page:
     def one(tag: int, default: int) -> int:
-        return tags.get(tag, (default,))[0]
+        return (tags.get(tag) or (default,))[0]
 
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     compression, predictor, tiled = one(259, RAW), one(317, 1), 324 in tags
     bits = one(258, 1)
     known = set(tags.get(258, (1,))) == {bits} and (bits == 8 or (bits in (1, 2, 4) and predictor == 1 and one(266, 1) == 1))
-    if not width or not height or not known or predictor not in (1, 2) or one(284, 1) != 1:
+    if not width or not height or not samples or not known or predictor not in (1, 2) or one(284, 1) != 1:
         raise ValueError("page of a kind that isn't read")
+    if width * height * samples >= 1 << 31:  # what a binary column holds
+        raise ValueError("page larger than a value can be")
     across, down = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
     if not across or not down:
         raise ValueError("tiles without a size")
@@ -250,8 +262,8 @@ def _page(data: bytes, tags: dict[int, tuple]) -> Page:
     for i in range(columns * -(-height // down)):
         y, x = i // columns * down, i % columns * across
         rows = down if tiled else min(down, height - y)
-        block = _unpack(data[offsets[i] : offsets[i] + lengths[i]], compression)
         line = -(-across * samples * bits // 8)
+        block = _unpack(data[offsets[i] : offsets[i] + lengths[i]], compression, rows * line)
         if len(block) < rows * line:
             raise ValueError("part that ends early")
         block = np.frombuffer(block, np.uint8, rows * line).reshape(rows, line)
@@ -264,16 +276,17 @@ def _page(data: bytes, tags: dict[int, tuple]) -> Page:
     return Page(width, height, samples, compression, predictor, tiled, page.tobytes())
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+def _unpack(data: bytes, compression: int, most: int) -> bytes:
+    """At least the first `most` bytes, where there are so many."""
     if compression in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, most)
         except zlib.error as e:
             raise ValueError("damaged deflate data") from e
     if compression == LZW:
-        return unlzw(data)
+        return unlzw(data, most)
     if compression == PACKBITS:
-        return unpackbits(data)
+        return unpackbits(data, most)
     if compression == RAW:
         return data
     raise ValueError("unknown compression")
