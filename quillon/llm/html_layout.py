@@ -11,10 +11,13 @@ by memory alone.
 Rules of a style sheet hold outside at-blocks, in @layer, and in an @media that holds for a screen of `SCREEN` pixels; a condition that
 is not understood does not hold, so that its rules hide nothing.
 
-Cells of a table column start in one place; cells longer than `WIDEST` are written as they are and align nothing.
+Cells of a table column start in one place. A cell that others follow is broken at spaces into lines of `WIDEST` characters at most,
+as a screen would, so that one long cell doesn't pad every row; a longer word stays whole and moves what follows it in its own row.
+The last cell of a row is never broken.
 
-Defined cases: null and empty pages give empty text; unclosed tags and quotes end with the page; a lone < is text; repeated rows are
-each rendered; an empty table gives no rows; columns other than page_id and html are ignored.
+Defined cases: null and empty pages give empty text; unclosed tags and quotes end with the page; a lone < is text; elements may be
+nested to any depth, in time that grows with the page; repeated rows are each rendered; null page_ids are kept; an empty table gives
+no rows; columns other than page_id and html are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, table
 
+#: Characters of a line in a cell that others follow, by default.
 WIDEST = 60
 SCREEN = {"width": 1280, "height": 720}
 
@@ -123,7 +127,7 @@ class Flow:
     """Lines of one containing block."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[str | _Nested] = []
         self.now: list[str] = []
         self.blank_before_text = False
         self.gap = False
@@ -168,19 +172,57 @@ class Flow:
         self.end_line()
         self.gap |= spaced
 
-    def add(self, lines: list[str], first: str = "", rest: str = "") -> None:
+    def add(self, lines: list, first: str = "", rest: str = "") -> None:
+        """Lines of an inner block; indented ones are laid out only when the outermost block is done."""
         self.end_line()
         if lines:
             self._open()
-            self.lines += [(first if i == 0 else rest) + line if line or i == 0 else "" for i, line in enumerate(lines)]
+            if first or rest:
+                self.lines.append(_Nested(first, rest, lines))
+            else:
+                self.lines += lines
 
-    def done(self) -> list[str]:
+    def done(self) -> list:
         self.end_line()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
         return self.lines
 
 
+class _Nested:
+    """Lines with what goes before the first of them and before the others; empty lines but the first stay empty."""
+
+    __slots__ = ("first", "rest", "lines", "begun")
+
+    def __init__(self, first: str, rest: str, lines: list):
+        self.first, self.rest, self.lines, self.begun = first, rest, lines, False
+
+
+def flat(lines: list) -> list[str]:
+    """Plain lines of a block, in time that grows with their length."""
+    out: list[str] = []
+    inside: list[_Nested] = []
+    todo = [iter(lines)]
+    while todo:
+        line = next(todo[-1], None)
+        if line is None:
+            todo.pop()
+            if inside:
+                inside.pop()
+        elif isinstance(line, _Nested):
+            line.begun = False
+            inside.append(line)
+            todo.append(iter(line.lines))
+        else:
+            before = []
+            for block in reversed(inside):
+                if line or before or not block.begun:
+                    before.append(block.rest if block.begun else block.first)
+                block.begun = True
+            out.append("".join(reversed(before)) + line)
+    return out
+
+
 class Element:
     __slots__ = ("name", "gone", "unseen", "flow", "rows", "number", "step", "marker", "span", "closed", "kept", "foreign", "options", "label", "chosen")
 
@@ -191,11 +233,15 @@ class Element:
 
 
 class Page:
-    def __init__(self) -> None:
+    def __init__(self, widest: int = WIDEST) -> None:
+        self.widest = widest
         self.stack = [Element("#page", False, False)]
         self.stack[0].flow = Flow()
         self.flows = [self.stack[0].flow]
         self.hide: dict[str, str] = {}
+        #: Where in the stack elements of a name are, and where blocks are, so that no search walks the stack.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
     # Style sheets.
     def sheet(self, css: str) -> None:
@@ -231,17 +277,30 @@ class Page:
         return gone, unseen
 
     # The tree.
+    def _last(self, names: frozenset | set) -> int:
+        """Where the innermost open element of one of these names is; 0 if there is none."""
+        return max((own[-1] for name in names if (own := self.places.get(name))), default=0)
+
     def _find(self, names: frozenset | set, stop: frozenset | set) -> int:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name in names:
-                return i
-            if self.stack[i].name in stop:
-                return 0
-        return 0
+        at = self._last(names)
+        return at if at >= self._last(stop) else 0
+
+    def _push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.stack))
+        if element.name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def _pop(self) -> None:
+        element = self.stack.pop()
+        self.places[element.name].pop()
+        if element.name in _BLOCK:
+            self.blocks.pop()
+        self._leave(element)
 
     def _close_to(self, at: int) -> None:
         while len(self.stack) > at:
-            self._leave(self.stack.pop())
+            self._pop()
 
     def _close(self, names: frozenset | set, stop: frozenset | set) -> None:
         if at := self._find(names, stop):
@@ -252,7 +311,7 @@ class Page:
     def start(self, name: str, attributes: dict[str, str], empty: bool = False) -> None:
         if self.stack[-1].foreign and name in _BREAKS:
             while self.stack[-1].foreign:
-                self._leave(self.stack.pop())
+                self._pop()
         if name in _ENDS_P:
             self._close({"p"}, self._BOUNDS)
         if name in _HEADINGS and self.stack[-1].name in _HEADINGS:
@@ -296,7 +355,7 @@ class Page:
             element.gone |= name in (_MATH_UNSEEN if up.foreign == _FORMULA else _SVG_UNSEEN)
         if empty and (up.foreign or name in ("svg", "math")):
             return
-        self.stack.append(element)
+        self._push(element)
         if element.gone:
             return
         flow = self.flows[-1]
@@ -314,7 +373,7 @@ class Page:
             self.flows.append(element.flow)
             return
         if name in _BLOCK:
-            nested = name in ("ul", "ol") and any(e.name == "li" and not e.gone for e in self.stack[:-1])
+            nested = name in ("ul", "ol") and bool(self.places.get("li"))
             flow.edge(name in _SPACED and not nested)
         if name == "ol":
             element.step = -1 if "reversed" in attributes else 1
@@ -330,9 +389,9 @@ class Page:
             element.flow = Flow()
             self.flows.append(element.flow)
             if name == "li":
-                owner = next((e for e in reversed(self.stack) if e.name in ("ul", "ol", "menu")), None)
+                owner = self.stack[self._last({"ul", "ol", "menu"})]
                 element.marker = "- "
-                if owner is not None and owner.number is not None:
+                if owner.number is not None:
                     number = _number(attributes.get("value"), owner.number)
                     element.marker, owner.number = f"{number}. ", number + owner.step
             elif name in _CELLS:
@@ -362,7 +421,8 @@ class Page:
             self.flows[-1].text(" ".join(found[-1] if best == 2 else found[0]))
 
     def _owner(self, name: str) -> Element | None:
-        return next((e for e in reversed(self.stack[:-1]) if e.name == name and not e.gone), None)
+        """The innermost open element of a name that isn't the newest; an element that is seen has none that are gone around it."""
+        return next((self.stack[at] for at in reversed(self.places.get(name, [])[-2:]) if at < len(self.stack) - 1), None)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -374,7 +434,7 @@ class Page:
             return
         stop = {"table"} if name in _CELLS | _SECTIONS | {"tr", "caption"} else set() if name in ("table", "body", "html") else set(self._BOUNDS)
         at = self._find({name}, stop - {name})
-        if at and (name in _BLOCK or name in _UNSEEN or name in _FOREIGN or not any(e.name in _BLOCK for e in self.stack[at + 1 :])):
+        if at and (name in _BLOCK or name in _UNSEEN or name in _FOREIGN or not (self.blocks and self.blocks[-1] > at)):
             self._close_to(at)
 
     def _leave(self, element: Element) -> None:
@@ -384,25 +444,26 @@ class Page:
             self.flows.pop()
             lines = element.flow.done()
             if element.name == "option":
-                if owner := next((e for e in reversed(self.stack) if e.name == "select" and not e.gone), None):
-                    owner.options.append(([element.label] if element.label else lines, element.chosen))
+                if at := self._last({"select"}):
+                    self.stack[at].options.append(([element.label] if element.label else flat(lines), element.chosen))
                 return
             if element.name in _CELLS:
-                if owner := next((e for e in reversed(self.stack) if e.name == "table" and not e.gone), None):
+                if at := self._last({"table"}):
+                    owner = self.stack[at]
                     if not owner.rows:
                         owner.rows.append([])
-                    owner.rows[-1].append((lines, element.span))
+                    owner.rows[-1].append((flat(lines), element.span))
                 return
             marker = element.marker or "  "
             self.flows[-1].add(lines, marker, " " * len(marker))
         elif element.rows is not None:
-            self.flows[-1].add(aligned(element.rows))
+            self.flows[-1].add(aligned(element.rows, self.widest))
         elif element.options is not None:
             self._choose(element)
         elif element.foreign == _LABEL and element.name in _SVG_TEXT:
             self.flows[-1].edge(False)
         if element.name in _BLOCK:
-            nested = element.name in ("ul", "ol") and any(e.name == "li" and not e.gone for e in self.stack)
+            nested = element.name in ("ul", "ol") and bool(self.places.get("li"))
             self.flows[-1].edge(element.name in _SPACED and not nested)
 
     def text(self, text: str) -> None:
@@ -422,15 +483,28 @@ def _number(text: str | None, otherwise: int) -> int:
     return int(text) if text and re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", text) else otherwise
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def broken(line: str, widest: int) -> Iterator[str]:
+    """A line in parts of at most so many characters, cut at spaces; a longer word stays whole."""
+    at = 0
+    while len(line) - at > widest:
+        cut = line.rfind(" ", at + 1, at + widest + 1)
+        cut = cut if cut > 0 else line.find(" ", at + widest)
+        if cut < 0:
+            break
+        yield line[at:cut]
+        at = cut + 1
+    yield line[at:]
+
+
+def aligned(rows: list[list[tuple[list[str], int]]], widest: int = WIDEST) -> list[str]:
     """Lines of a table whose cells start in columns."""
+    rows = [[(cell[0] if k == len(row) - 1 else [part for line in cell[0] for part in broken(line, widest)], cell[1]) for k, cell in enumerate(row)] for row in rows]
     width: dict[int, int] = {}
     for row in rows:
         column = 0
-        for lines, span in row:
-            if span == 1:
-                longest = max((len(x) for x in lines), default=0)
-                width[column] = max(width.get(column, 0), longest if longest <= WIDEST else 0)
+        for k, (lines, span) in enumerate(row):
+            if span == 1 and k < len(row) - 1:
+                width[column] = max(width.get(column, 0), min(max((len(x) for x in lines), default=0), widest))
             column += span
     out = []
     for row in rows:
@@ -446,9 +520,9 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return out
 
 
-def render(source: str | None) -> str:
+def render(source: str | None, widest: int = WIDEST) -> str:
     """The visible text of one page."""
-    page, source = Page(), source or ""
+    page, source = Page(widest), source or ""
     at = 0
     for m in iter(lambda: _TOKEN.search(source, at), None):
         page.text(source[at : m.start()])
@@ -476,15 +550,15 @@ def render(source: str | None) -> str:
                 page.text(raw.removeprefix("\n"))
     page.text(source[at:])
     page._close_to(1)
-    return "\n".join(page.flows[0].done())
+    return "\n".join(flat(page.flows[0].done()))
 
 
-def visible_text(pages: DataFrame) -> DataFrame:
+def visible_text(pages: DataFrame, widest: int = WIDEST) -> DataFrame:
     """page_id and the page's laid-out text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [render(x.as_py()) for x in batch.column(1)]
+            texts = [render(x.as_py(), widest) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInArrow(lean(run), "page_id bigint, text string")
