@@ -233,17 +233,36 @@ class Slice:
         return np.stack([*rows, 3 * self.hashed + kind - FREQUENT - 1])
 
 
-def _softmax(weights: np.ndarray, features: np.ndarray, bias: np.ndarray | float = 0.0) -> np.ndarray:
+#: Sums of weights beyond which a row's largest is taken off first, so that no power overflows.
+_LARGE = 60.0
+
+
+def _powers(weights: np.ndarray, features: np.ndarray, bias: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised chances and their sums."""
     z = weights.take(features[0], axis=0)
+    more = np.empty_like(z)
     for rows in features[1:]:
-        z += weights.take(rows, axis=0)
+        np.take(weights, rows, axis=0, out=more, mode="clip")
+        z += more
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    if len(z) and z.max() > _LARGE:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z, np.einsum("ij->i", z)
+
+
+def _softmax(weights: np.ndarray, features: np.ndarray, bias: np.ndarray | float = 0.0) -> np.ndarray:
+    z, total = _powers(weights, features, bias)
+    z *= (1 / total)[:, None]
     return z
 
 
+def _chance(weights: np.ndarray, features: np.ndarray, wanted: np.ndarray, bias: np.ndarray | float = 0.0) -> np.ndarray:
+    """What the softmax gives the wanted places."""
+    z, total = _powers(weights, features, bias)
+    return z[np.arange(len(z)), wanted].astype(float) / total
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for at in range(batch.num_rows):
@@ -288,7 +307,8 @@ class Trainer:
     def _move(self, rows: np.ndarray, g: np.ndarray) -> None:
         squares = self.squares[rows] + np.einsum("ij,ij->i", g, g)[:, None] / g.shape[1]
         self.squares[rows] = squares
-        self.weights[rows] -= g * (STEP / np.sqrt(squares))
+        g *= STEP / np.sqrt(squares)
+        self.weights[rows] = self.weights.take(rows, axis=0) - g
 
 
 _MOVES = "block int, seen bigint, moves binary"
@@ -391,10 +411,9 @@ def scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 part = slice(at, at + BATCH)
                 token, document, context = own.token[part], own.document[part], own.context(part)
                 kind = own.kind[token]
-                chance = _softmax(model.weights, own.features(context), model.weights[-1])[np.arange(len(token)), kind].astype(float)
+                chance = _chance(model.weights, own.features(context), kind, model.weights[-1])
                 shared = kind > FREQUENT
-                inside = _softmax(model.inner, own.inner_features(tuple(c[shared] for c in context), kind[shared]))
-                chance[shared] *= inside[np.arange(len(inside)), own.group[token[shared]]]
+                chance[shared] *= _chance(model.inner, own.inner_features(tuple(c[shared] for c in context), kind[shared]), own.group[token[shared]])
                 score = own.share[token] + np.log10(np.maximum(chance, 1e-300))
                 first = document[0]
                 for k, value in enumerate((own.count[token] > 0, single[token], score)):
