@@ -1,20 +1,24 @@
 """Near-duplicate documents by b-bit MinHash.
 
 One pass over the texts makes, of each document's set of word shingles, the minima of `ROWS` hash functions. Two bits of each
-are kept and packed into 32 64-bit integers; groups of four whole minima give `BANDS` band keys. Equal texts are one
+are kept and packed into 32 64-bit integers; groups of five whole minima give `BANDS` band keys. Equal texts are one
 from here on. Documents that share a band key are candidates. The agreement of two packed signatures, counted in bits and
 corrected for the 1 in 4 that agree by chance, estimates their similarity; candidates whose estimate is four standard
 deviations too low are let go, all others are confirmed on the full sets of both texts.
 
-Candidates are never all pairs of a band. First every document of a band is compared with the one
-of them that meets most others over all bands. Where a
-band still holds documents of several components, those outside its largest component are compared with all others of it, so
-no link between components is lost; links inside one component change nothing. They are compared in blocks of bounded size. With 32 bands of 4 rows a pair of similarity
-0.75 is missed with probability 5e-6, and more similar ones less often.
+Candidates are never all pairs of a band. First every document of a band is compared with the one of them that meets most others
+over all bands. Where a band still holds documents of several components, those outside its largest component are compared with
+all others of it, so no link between components is lost; links inside one component change nothing. They are compared in blocks
+of bounded size, by an eighth of the signature's places; whole signatures and texts follow only for pairs that agree there. With
+48 bands of 5 rows a pair of similarity 0.75 shares no band with probability 2e-6, and more similar ones less often; unrelated
+texts, of which a large corpus has most, share one far less often than with shorter bands.
+
+Joins have hot keys where many documents are near one: a band or a leader may be that of a third of all rows. These joins are
+plain, with the hot side first, so that the adaptive skew join splits its partitions; what is copied to each part is one row a key.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; equal texts always link; rows that share a
-doc_id count as one document; a null doc_id is kept and has no component; an empty table gives no rows; other columns are
-ignored.
+doc_id count as one document; a null doc_id is kept and has no component; very long texts are read whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,20 +28,17 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, table
+from .common import discard, lean, materialise, table
 from .components import components
 from .words import Words, mix, parts, shingle_sets, utf8
 
-BANDS, BAND_ROWS, ROWS, BITS = 32, 4, 1024, 2
-#: Of 1024 agreements the least that admits a pair: a similarity of 0.75 gives 832 with a deviation of 12.5.
-LEAST_AGREEMENT = 782
-#: A first look takes eight integers, 256 places: 208 and 6.2.
-_FIRST_LANES, _FIRST_LEAST = 8, 180
+BANDS, BAND_ROWS, ROWS, BITS = 48, 5, 1024, 2
+#: Integers of a signature that a first look takes, an eighth of its places.
+_FIRST_LANES = 4
 SHARE = (75, 100)
 SHINGLE = 5
 _LANES = ROWS * BITS // 64
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(_digests), _DIGEST)
 
 
-def agreement(left: str, right: str, lanes: int = _FIRST_LANES) -> Column:
+def agreement(left: str, right: str, lanes: int) -> Column:
     """In how many places the first integers of two packed signatures agree, by counting bits."""
 
     def apart(i: int) -> Column:
@@ -114,10 +115,16 @@ def agreement(left: str, right: str, lanes: int = _FIRST_LANES) -> Column:
     return F.lit(lanes * 64 // BITS) - reduce(lambda a, b: a + b, (apart(i) for i in range(lanes)))
 
 
-def estimate(agreed: int | np.ndarray, of: int = ROWS) -> float | np.ndarray:
-    """The similarity that an agreement speaks for, corrected for chance agreement."""
+def estimate(agreed: float | np.ndarray | Column, places: int) -> float | np.ndarray | Column:
+    """The similarity that an agreement speaks for, corrected for places that agree by chance."""
     chance = 1 / (1 << BITS)
-    return (agreed / of - chance) / (1 - chance)
+    return (agreed / places - chance) / (1 - chance)
+
+
+def least_estimate(places: int) -> float:
+    """What the estimate of a pair that is just similar enough exceeds but for four standard deviations."""
+    agree = SHARE[0] / SHARE[1] + (1 - SHARE[0] / SHARE[1]) / (1 << BITS)
+    return estimate(places * agree - 4 * (places * agree * (1 - agree)) ** 0.5, places)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +133,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for left in parts(batch.column(2)):
             upto = at + len(left)
-            own = []
-            for texts in (left, batch.column(3).slice(at, upto - at)):
-                own.append(shingle_sets(Words(*utf8(texts), lower=True), SHINGLE)[:2])
-            (a, ao), (b, bo) = own
+            a, ao = shingle_sets(Words(*utf8(left), lower=True), SHINGLE)[:2]
+            ids, one, which = np.unique(batch.column(1).slice(at, upto - at).to_numpy(), return_index=True, return_inverse=True)
+            sets: list = [None] * len(ids)  # one text, such as a leader's, stands in many pairs
+            base = 0
+            for texts in parts(batch.column(3).slice(at, upto - at).take(pa.array(one))):
+                b, bo = shingle_sets(Words(*utf8(texts), lower=True), SHINGLE)[:2]
+                sets[base : base + len(texts)] = [b[bo[k] : bo[k + 1]] for k in range(len(texts))]
+                base += len(texts)
             for i in range(len(left)):
-                x, y = a[ao[i] : ao[i + 1]], b[bo[i] : bo[i + 1]]
+                x, y = a[ao[i] : ao[i + 1]], sets[which[i]]
                 if min(len(x), len(y)) * SHARE[1] < SHARE[0] * max(len(x), len(y)):
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -150,12 +161,20 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirmed), "a bigint, b bigint").distinct()
 
 
+def similar(pairs: DataFrame, signed: DataFrame, lanes: int) -> DataFrame:
+    """Of pairs (a, b) those whose signatures, in so many integers, estimate a similarity that isn't too low."""
+    own = F.slice("signature", 1, lanes) if lanes < _LANES else F.col("signature")
+    left, right = (signed.select(F.col("node").alias(x), own.alias("s" + x)) for x in ("a", "b"))
+    places = lanes * 64 // BITS
+    return pairs.join(left, "a").join(right, "b").where(estimate(agreement("sa", "sb", lanes), places) >= least_estimate(places)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept, the component's smallest document."""
     rows = materialise(signatures(docs), "signatures")
     some = rows.where("content IS NOT NULL AND doc_id IS NOT NULL")
     texts = materialise(some.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "contents")
-    nodes = texts.select("node", "signature")
+    signed = texts.select("node", "signature")
 
     members = texts.select("node", F.explode("bands").alias("band"))
     sizes = materialise(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
@@ -165,45 +184,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = met.join(central, "node").groupBy("band").agg(F.max(F.struct("score", -F.col("node")))["col2"].alias("leader"))
     leaders = materialise(leaders.select("band", (-F.col("leader")).alias("leader")), "leaders")
     shared = materialise(met.select("band", "node").join(leaders, "band"), "shared")
+    discard(sizes, met, central, leaders)
     pairs = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-        right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").where(agreement("sa", "sb") >= _FIRST_LEAST).select("a", "b")
-
-    links = materialise(confirm(materialise(similar(pairs), "pairs"), docs), "links")
+    first = materialise(similar(pairs, signed, 2 * _FIRST_LANES), "pairs")
+    links = materialise(confirm(first, docs), "links")
     root = materialise(components(links), "components")
+    discard(first, links)
 
     # Bands that still hold several components: their smaller parts against all the rest.
-    placed = shared.join(root, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root"))
+    placed = materialise(shared.join(root, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root")), "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
     mixed = materialise(placed.join(materialise(mixed, "mixed"), "band", "left_semi"), "mixed-members")
-    second = materialise(_across(mixed, texts.select("node", "signature", "bands")), "more-pairs")
+    discard(shared, placed)
+    likely = materialise(_across(mixed, signed), "likely-pairs")
+    second = materialise(similar(likely, signed, _LANES), "more-pairs")
     more = materialise(confirm(second, docs), "more-links")
     top = materialise(_joined(root, more), "components")
+    discard(mixed, likely, second, more, root)
 
     ids = texts.select("content", "node").join(top, "node", "left").select("content", F.coalesce("root", "node").alias("component_id"))
     ids = materialise(ids, "ids")
+    discard(texts, top)
     out = rows.select("doc_id", "content", "n_shingles").join(ids, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 #: Documents of one band that are compared at once: so many outside its largest component, with so many of all.
-_BLOCK_OUT, _BLOCK_ALL = 1024, 4096
+_BLOCK_OUT, _BLOCK_ALL = 1024, 2048
 
 
-def _across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of a band's different components; mixed: band, leader, node and root of every document.
+def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of a band's different components; mixed: band, leader, node and root of every document.
 
-    Blocks of bounded size are compared by counting bits; only pairs that agree enough leave them, each in the first band it
-    shares.
+    Blocks of bounded size are compared by counting bits of the signatures' first integers, which are all that is copied to blocks;
+    only pairs that agree enough leave them.
     """
     counted = mixed.groupBy("band", "root").count()
     largest = counted.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
     largest = largest.select("band", "main", F.ceil((F.col("all") - F.col("most")) / _BLOCK_OUT).alias("outs"), F.ceil(F.col("all") / _BLOCK_ALL).alias("alls"))
-    placed = materialise(mixed.join(materialise(largest, "largest"), "band").join(sketches, "node"), "mixed-nodes")
+    largest = materialise(largest, "largest")
+    placed = materialise(mixed.join(largest, "band").join(signed.select("node", F.slice("signature", 1, _FIRST_LANES).alias("signature")), "node"), "mixed-nodes")
 
     def slot(n: str) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
@@ -211,33 +232,35 @@ def _across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0).cast("bigint"), F.col("alls") - 1)
     outer = placed.where("root <> main").select("*", F.lit(True).alias("outer"), slot("outs").alias("o"), F.explode(every).alias("i"))
     inner = placed.select("*", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outs") - 1)).alias("o"), slot("alls").alias("i"))
-    both = outer.unionByName(inner).select("band", "o", "i", "outer", "node", "root", "main", "leader", "signature", "bands")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        left, right = group[group.outer], group[~group.outer]
-        if len(left) and len(right):
-            sa, sb, ba, bb = (np.stack(c.to_numpy()).view(np.uint64) for c in (left.signature, right.signature, left.bands, right.bands))
-            a, b, ra, rb = left.node.to_numpy(), right.node.to_numpy(), left.root.to_numpy(), right.root.to_numpy()
-            band, main, leader = np.uint64(int(group.band.iloc[0]) % (1 << 64)), group.main.iloc[0], group.leader.iloc[0]
-            for at in range(0, len(a), 64):
-                part = slice(at, at + 64)
-                apart = np.zeros((len(a[part]), len(b)), np.uint16)
-                for lane in range(_LANES):
-                    x = sa[part, lane, None] ^ sb[None, :, lane]
-                    apart += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW))
-                fresh = (ROWS - apart.astype(np.int64) >= LEAST_AGREEMENT) & (ra[part, None] != rb[None]) & ((rb[None] == main) | (a[part, None] > b[None]))
-                i, j = np.nonzero(fresh)
-                i += at
-                keep = (a[i] != leader) & (b[j] != leader)
-                i, j = i[keep], j[keep]
-                first = np.argmax(ba[i] == bb[j], axis=1)
-                keep = ba[i, first] == band
-                found.append(np.stack([a[i[keep]], b[j[keep]]], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return both.groupBy("band", "o", "i").applyInPandas(compare, "a bigint, b bigint").distinct()
+    both = outer.unionByName(inner).select("band", "o", "i", "outer", "node", "root", "main", "leader", "signature")
+    return both.groupBy("band", "o", "i").applyInArrow(_compared, "a bigint, b bigint").distinct()
+
+
+def _compared(group: pa.Table) -> pa.Table:
+    """Pairs of one block whose first places agree enough."""
+    outer = group.column("outer").to_numpy()
+    signature = group.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _FIRST_LANES)
+    node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+    left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
+    found = [np.zeros((0, 2), np.int64)]
+    if len(left) and len(right):
+        main, leader = group.column("main")[0].as_py(), group.column("leader")[0].as_py()
+        right = right[node[right] != leader]  # every document was compared with it before
+        left = left[node[left] != leader]
+        places = _FIRST_LANES * 64 // BITS
+        most_apart = places - np.ceil(places * (least_estimate(places) * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)))
+        b, rb, sb = node[right], root[right], np.ascontiguousarray(signature[right].T)
+        for at in range(0, len(left), 64):
+            own = left[at : at + 64]
+            a, ra = node[own], root[own]
+            apart = np.zeros((len(own), len(b)), np.uint16)
+            for lane in range(_FIRST_LANES):
+                x = signature[own, lane, None] ^ sb[lane][None]
+                apart += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW))
+            i, j = np.nonzero((apart <= most_apart) & (ra[:, None] != rb[None]) & ((rb[None] == main) | (a[:, None] > b[None])))
+            found.append(np.stack([a[i], b[j]], axis=1))
+    pairs = np.concatenate(found)
+    return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
 
 def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
