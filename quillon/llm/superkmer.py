@@ -9,8 +9,11 @@ Strings of which all words occur twice in one batch of a task are known to be re
 about one string a task however large it is. Buckets are as many as the input needs. Common grams, which would fill one bucket,
 are counted first, and at most `COMMON` of them kept: that choice moves work between buckets but changes no result.
 
-Defined cases: null texts have no words; texts below WINDOW words lose none; rows alike in doc_id and text are each returned and
-count as repeating one another; null doc_ids are kept; an empty table gives no rows; other columns are ignored.
+A bucket that still grows large, such as that of a gram just short of common, is counted in several passes of bounded memory.
+
+Defined cases: null texts have no words; texts below WINDOW words lose none; very long texts are cut into strings like others; rows alike in doc_id and text are each returned and
+count as repeating one another; null doc_ids are kept; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ WINDOW, GRAM = 35, 8
 COMMON, COMMON_COUNT = 65_536, 16
 #: Words that a bucket holds, about, and windows of one packed string at most.
 BUCKET_WORDS, LONGEST = 1_000_000, 512
-#: Bytes of text that a task looks at together.
-SLICE_BYTES = 1 << 23
+#: Bytes of text that a task looks at together, and bytes of strings whose windows are counted in one pass over a bucket.
+SLICE_BYTES, PASS_BYTES = 1 << 23, 1 << 25
 _TOP = np.uint64(1 << 63)
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
@@ -154,11 +157,10 @@ def _packer(common: np.ndarray, buckets: int):
                 start, stop = words.starts[first[begin[one]]], words.ends[first[begin[one] + size[one] - 1] + WINDOW - 1]
                 bucket = (mix(least[begin[one]]) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                used, edges = np.unique(bucket[order], return_index=True)  # of this slice's strings, however many buckets there are
                 data = words.data.tobytes()
                 rows = []
-                for b in np.flatnonzero(np.diff(edges)):
-                    own = order[edges[b] : edges[b + 1]]
+                for b, own in zip(used.tolist(), np.split(order, edges[1:]), strict=True):
                     packed = b"".join([data[s:t] for s, t in zip(start[own].tolist(), stop[own].tolist(), strict=True)])
                     lead = row[begin[one[own]]]
                     rows.append((int(b), ids[lead].tobytes(), hashes[lead].tobytes(), (first[begin[one[own]]] - words.first[lead]).astype(np.int64).tobytes(), np.minimum(n[own], 2).astype(np.int8).tobytes(), (stop[own] - start[own]).astype(np.int64).tobytes(), squeeze.compress(packed), b""))
@@ -182,22 +184,28 @@ _RANGES = "id bigint, text_hash bigint, start bigint, stop bigint"
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Ranges of repeated windows in one bucket."""
+    """Ranges of repeated windows in one bucket.
+
+    The strings stay compressed; windows are hashed a row at a time and, where the bucket is large, in passes over shares of the
+    hashes, so that a bucket which many texts fall into takes more time but not more memory.
+    """
     expand = zstandard.ZstdDecompressor()
     columns = {n: group.column(n).to_pylist() for n in _NAMES[1:]}
-    known = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in columns["ranges"]])
+    found = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in columns["ranges"]]
+    rows = [i for i, x in enumerate(columns["data"]) if x]
+    lengths = [np.frombuffer(columns["lengths"][i], np.int64) for i in rows]
+    base = np.cumsum([0, *(len(x) for x in lengths)])
 
     def joined(name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(columns[name]), kind)
-
-    lengths, sent = joined("lengths", np.int64), joined("sent", np.int8)
-    found = [known]
-    if len(lengths):
-        data = np.frombuffer(b"".join(expand.decompress(x) if x else b"" for x in columns["data"]), np.uint8)
-        words = Words(data, np.concatenate([[0], np.cumsum(lengths)]), lower=False)
-        value = words.hashes()
-        string, first = _windows(words.first, WINDOW)
-        h1, h2 = rolled(value, WINDOW, _P1)[first], rolled(value, WINDOW, _P2)[first]
+        return np.frombuffer(b"".join([columns[name][i] for i in rows]), kind)
+
+    ids, hashes, starts, sent = joined("ids", np.int64), joined("hashes", np.int64), joined("starts", np.int64), joined("sent", np.int8)
+    passes = 1 + sum(int(x.sum()) for x in lengths) // PASS_BYTES
+    for k in range(passes if rows else 0):
+        h1, h2, string, place = zip(*(_window_hashes(expand.decompress(columns["data"][i]), n, at, k, passes) for i, n, at in zip(rows, lengths, base, strict=False)), strict=True)
+        h1, h2, string, place = (np.concatenate(x) for x in (h1, h2, string, place))
+        if not len(h1):
+            continue
         order = np.lexsort((h2, h1))
         new = np.ones(len(order), bool)
         new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
@@ -205,13 +213,26 @@ def _count(group: pa.Table) -> pa.Table:
         repeated = np.empty(len(order), bool)
         repeated[order] = times[np.cumsum(new) - 1] > 1
         hit = np.flatnonzero(repeated & (sent[string] == 1))
-        place = joined("starts", np.int64)[string[hit]] + first[hit] - words.first[string[hit]]
+        place = starts[string[hit]] + place[hit]
         s, b, e = _merged(string[hit], place, place + WINDOW)
-        found.append(np.stack([joined("ids", np.int64)[s], joined("hashes", np.int64)[s], b, e], axis=1))
-    found = np.concatenate(found)
+        found.append(np.stack([ids[s], hashes[s], b, e], axis=1))
+    found = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
     return pa.table([pa.array(np.ascontiguousarray(found[:, i])) for i in range(4)], ["id", "text_hash", "start", "stop"])
 
 
+def _window_hashes(data: bytes, lengths: np.ndarray, base: int, k: int, passes: int) -> tuple[np.ndarray, ...]:
+    """Two hashes of every window of packed strings, the string's number from base on and the window's place in it; of the k-th share."""
+    words = Words(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(lengths)]), lower=False)
+    value = words.hashes()
+    string, first = _windows(words.first, WINDOW)
+    h1, h2, place = rolled(value, WINDOW, _P1)[first], rolled(value, WINDOW, _P2)[first], first - words.first[string]
+    string = string + base
+    if passes > 1:
+        own = h1 % np.uint64(passes) == np.uint64(k)
+        h1, h2, string, place = h1[own], h2[own], string[own], place[own]
+    return h1, h2, string, place
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id (0 for null), text_hash and word ranges [start, stop) of repeated windows; ranges may overlap."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
