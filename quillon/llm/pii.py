@@ -13,7 +13,7 @@ of one text are sampled like others), labelled by the patterns. The `SHAPES` com
 
 Defined cases: null and empty texts have no spans; digits of any number are read; repeated rows are each searched; ties between
 kinds go to the one listed first; an empty table gives no rows; a null doc_id is kept; other columns are passed on by find_spans,
-where one named spans is replaced, and ignored by op1.
+where one named like the result is replaced, and ignored by op1.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, _parse_datatype_string
 
-from .common import discard, lean, materialise, table
+from .common import discard, lean, materialise, table, with_column
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the factors are counted on, about; and shapes that are kept.
@@ -247,8 +248,11 @@ _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64
 _TOGETHER = 20_000
 
 
-def find_spans(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of docs with `spans`: (kind, start, end, added), by kind and start; offsets count code points, end exclusive."""
+def find_spans(docs: DataFrame, field: Field, into: str = "spans") -> DataFrame:
+    """The rows of docs with a column `into`: (kind, start, end, added), by kind and start; offsets count code points, end exclusive.
+
+    A column of that name is replaced.
+    """
 
     def solved(graphs: list[tuple[int, Tokens, str]]) -> Iterator[tuple[int, list]]:
         first = np.cumsum([0, *(len(g.spans) for _, g, _ in graphs)])
@@ -274,14 +278,15 @@ def find_spans(docs: DataFrame, field: Field) -> DataFrame:
             added.update(solved(graphs))
         return [sorted([*((*s, False) for s in own), *((*s, True) for s in added.get(i, []))]) for i, own in enumerate(base)]
 
+    docs = docs.drop(into)
+    column = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[dict(zip(("kind", "start", "end", "added"), s, strict=True)) for s in own] for own in found(batch.column(batch.schema.get_field_index("text")))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(_SPAN))], [*batch.schema.names, "spans"])
+            spans = [[dict(zip(("kind", "start", "end", "added"), s, strict=True)) for s in own] for own in found(batch.column(column))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(_SPAN))], [*batch.schema.names, into])
 
-    docs = docs.drop("spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lean(run), f"{schema}, spans {_SPANS}")
+    return with_column(docs, run, StructField(into, _parse_datatype_string(_SPANS)))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import lean, materialise, table
+from .common import lean, materialise, table, with_column
 
 #: Labelled documents that the scorer is fitted on, at most.
 FIT_ROWS = 20_000
@@ -281,12 +282,14 @@ def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndar
 
 def score(docs: DataFrame, scorer: Scorer, into: str = "score") -> DataFrame:
     """The rows of docs with the column `into`, which replaces one of that name."""
+    docs = docs.drop(into)
+    column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Features(scorer.model, scorer.index)
         for batch in batches:
             out = []
-            for text in batch.column(batch.schema.get_field_index("text")):
+            for text in batch.column(column):
                 if scorer.constant is not None:
                     out.append(scorer.constant)
                     continue
@@ -294,9 +297,7 @@ def score(docs: DataFrame, scorer: Scorer, into: str = "score") -> DataFrame:
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, into])
 
-    docs = docs.drop(into)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lean(run), f"{schema}, `{into}` double")
+    return with_column(docs, run, StructField(into, DoubleType()))
 
 
 def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
