@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -308,10 +308,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+def _is_base(kind: int) -> Callable[[Column], Column]:
+    """Whether a span is a pattern match of a kind; a function of one argument, since a second would be the span's index."""
+    return lambda s: ~s["added"] & (s["kind"] == kind)
+
+
 def op1_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_spans(docs, fit(docs)).select("doc_id", "spans")
     base = F.filter("spans", lambda s: ~s["added"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: ~s["added"] & (s["kind"] == k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("spans", _is_base(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import itertools
 import random
 import re
@@ -50,6 +51,20 @@ def test_op1_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_op1_columns_equal_a_plain_version(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = pii.op1_skip_chain_crf(spark, data).collect()
+    assert len(rows) == len(texts) and sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 10
+    for r in rows:
+        base = sorted(plain_spans(texts[r.doc_id]))
+        listed = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        found = [s.split(":") for s in r.spans.split(",") if s]
+        assert set(listed) <= {":".join(s) for s in found} and found == sorted(found, key=lambda s: (pii.KINDS.index(s[0]), int(s[1])))
+
+
 @pytest.mark.parametrize("text", ["1" * 5000 + ".1.1.1", "0" * 6000 + "1.2.3.4", "1" * 200_000, "a" * 200_000 + "@", "a@" * 50_000, "+1" + "-" * 100_000, "1." * 100_000])
 def test_op1_reads_long_runs(spark, text):
     began = time.perf_counter()
