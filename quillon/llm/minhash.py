@@ -9,7 +9,8 @@ deviations too low are let go, all others are confirmed on the full sets of both
 Candidates are never all pairs of a band. First every document of a band is compared with the one of them that meets most others
 over all bands. Where a band still holds documents of several components, those outside its largest component are compared with
 all others of it, so no link between components is lost; links inside one component change nothing. They are compared in blocks
-of bounded size, by an eighth of the signature's places; whole signatures and texts follow only for pairs that agree there. With
+of bounded size, first by an eighth of the signature's places, then, where these agree enough, by all; only pairs that agree in
+all leave a block, and their texts are compared. With
 48 bands of 5 rows a pair of similarity 0.75 shares no band with probability 2e-6, and more similar ones less often; unrelated
 texts, of which a large corpus has most, share one far less often than with shorter bands.
 
@@ -196,11 +197,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
     mixed = materialise(placed.join(materialise(mixed, "mixed"), "band", "left_semi"), "mixed-members")
     discard(shared, placed)
-    likely = materialise(_across(mixed, signed), "likely-pairs")
-    second = materialise(similar(likely, signed, _LANES), "more-pairs")
+    second = materialise(_across(mixed, signed), "more-pairs")
     more = materialise(confirm(second, docs), "more-links")
     top = materialise(_joined(root, more), "components")
-    discard(mixed, likely, second, more, root)
+    discard(mixed, second, more, root)
 
     ids = texts.select("content", "node").join(top, "node", "left").select("content", F.coalesce("root", "node").alias("component_id"))
     ids = materialise(ids, "ids")
@@ -217,14 +217,13 @@ _BLOCK_OUT, _BLOCK_ALL = 1024, 2048
 def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:
     """Likely pairs (a, b) of a band's different components; mixed: band, leader, node and root of every document.
 
-    Blocks of bounded size are compared by counting bits of the signatures' first integers, which are all that is copied to blocks;
-    only pairs that agree enough leave them.
+    Blocks of bounded size are compared by counting bits; only pairs whose whole signatures agree enough leave them.
     """
     counted = mixed.groupBy("band", "root").count()
     largest = counted.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
     largest = largest.select("band", "main", F.ceil((F.col("all") - F.col("most")) / _BLOCK_OUT).alias("outs"), F.ceil(F.col("all") / _BLOCK_ALL).alias("alls"))
     largest = materialise(largest, "largest")
-    placed = materialise(mixed.join(largest, "band").join(signed.select("node", F.slice("signature", 1, _FIRST_LANES).alias("signature")), "node"), "mixed-nodes")
+    placed = materialise(mixed.join(largest, "band").join(signed, "node"), "mixed-nodes")
 
     def slot(n: str) -> Column:
         return F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
@@ -236,10 +235,21 @@ def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:
     return both.groupBy("band", "o", "i").applyInArrow(_compared, "a bigint, b bigint").distinct()
 
 
+def _most_apart(places: int) -> int:
+    """In how many places two signatures may differ for their estimate not to be too low."""
+    chance = 1 / (1 << BITS)
+    return int(np.floor(places * (1 - chance - least_estimate(places) * (1 - chance))))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = x ^ y
+    return np.bitwise_count((z | z >> np.uint64(1)) & np.uint64(_LOW))
+
+
 def _compared(group: pa.Table) -> pa.Table:
-    """Pairs of one block whose first places agree enough."""
+    """Pairs of one block whose signatures agree enough."""
     outer = group.column("outer").to_numpy()
-    signature = group.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _FIRST_LANES)
+    signature = group.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _LANES)
     node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
     left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
     found = [np.zeros((0, 2), np.int64)]
@@ -247,18 +257,19 @@ def _compared(group: pa.Table) -> pa.Table:
         main, leader = group.column("main")[0].as_py(), group.column("leader")[0].as_py()
         right = right[node[right] != leader]  # every document was compared with it before
         left = left[node[left] != leader]
-        places = _FIRST_LANES * 64 // BITS
-        most_apart = places - np.ceil(places * (least_estimate(places) * (1 - 1 / (1 << BITS)) + 1 / (1 << BITS)))
-        b, rb, sb = node[right], root[right], np.ascontiguousarray(signature[right].T)
+        first, every = (_most_apart(lanes * 64 // BITS) for lanes in (_FIRST_LANES, _LANES))
+        b, rb, sb = node[right], root[right], np.ascontiguousarray(signature[right, :_FIRST_LANES].T)
         for at in range(0, len(left), 64):
             own = left[at : at + 64]
             a, ra = node[own], root[own]
             apart = np.zeros((len(own), len(b)), np.uint16)
             for lane in range(_FIRST_LANES):
-                x = signature[own, lane, None] ^ sb[lane][None]
-                apart += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW))
-            i, j = np.nonzero((apart <= most_apart) & (ra[:, None] != rb[None]) & ((rb[None] == main) | (a[:, None] > b[None])))
-            found.append(np.stack([a[i], b[j]], axis=1))
+                apart += _apart(signature[own, lane, None], sb[lane][None])
+            i, j = np.nonzero((apart <= first) & (ra[:, None] != rb[None]) & ((rb[None] == main) | (a[:, None] > b[None])))
+            for part in range(0, len(i), 1 << 14):
+                x, y = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
+                agree = _apart(signature[own[x]], signature[right[y]]).sum(axis=1, dtype=np.int64) <= every
+                found.append(np.stack([a[x[agree]], b[y[agree]]], axis=1))
     pairs = np.concatenate(found)
     return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
