@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Phrases that say that there is nothing to read, and labels of boxes that are no person.
-META_NO_TEXT = r"no\s+(readable\s+)?text|no dialogue|not text"
-NON_PERSON = "narration|narrator|caption|subtitle|subtitle text|sfx|sound effect|sound effects|onomatopoeia|sign|signage|shop sign|text|no text|translation note|tn"
-JUNK = r"^[?!.\-*_xX\s]+$"
+META_NO_TEXT = r"ไม่มี\s*ข้อความ|ไม่มี\s*ตัวอักษร|ไม่มี\s*บทพูด|ไม่ใช่\s*ข้อความ|no\s+(readable\s+)?text|no dialogue|not text"
+NON_PERSON = (
+    "narration|narrator|caption|subtitle|subtitle text|sfx|sound effect|sound effects|onomatopoeia|sign|signage|shop sign|text|no text|translation note|tn|"
+    "บรรยาย|บรรยายภาพ|คำบรรยาย|ผู้บรรยาย|ป้าย|ป้ายข้อความ|ข้อความ|เสียง|เสียงประกอบ|ไม่มีข้อความ"
+)
+JUNK = r"^[?？!！。．.\-–—~〜*＊_×xX\s]+$"
 
 
 def normalized(text: Column) -> Column:
@@ -33,6 +36,18 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2 * F.size(F.array_intersect(a, b)) / total).otherwise(0.0)
 
 
+def similar(a: Column, b: Column) -> Column:
+    """Whether two normalised texts say nearly the same: equal, half of the smaller set of words longer than two, one in the other from
+    ten letters on, or from twelve on a Dice of 0.85."""
+    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: F.length(w) > 2))
+    wa, wb = words(a), words(b)
+    shared = (F.size(wa) > 0) & (F.size(wb) > 0) & (F.size(F.array_intersect(wa, wb)) / F.least(F.size(wa), F.size(wb)) >= 0.5)
+    first = F.length(a) <= F.length(b)
+    short, long = (F.replace(F.when(first, x).otherwise(y), F.lit(" "), F.lit("")) for x, y in ((a, b), (b, a)))
+    near = ((F.length(short) >= 10) & long.contains(short)) | ((F.length(short) >= 12) & (dice(bigrams(short), bigrams(long)) >= 0.85))
+    return (a != "") & (b != "") & ((a == b) | shared | near)
+
+
 def usable(text: Column) -> Column:
     """Whether trimmed text is more than punctuation, one letter or digit, or the label of a box."""
     t = F.trim(text)
