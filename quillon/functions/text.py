@@ -11,6 +11,11 @@ NON_PERSON = (
     "narration|narrator|caption|subtitle|subtitle text|sfx|sound effect|sound effects|onomatopoeia|sign|signage|shop sign|text|no text|translation note|tn|"
     "บรรยาย|บรรยายภาพ|คำบรรยาย|ผู้บรรยาย|ป้าย|ป้ายข้อความ|ข้อความ|เสียง|เสียงประกอบ|ไม่มีข้อความ"
 )
+# Phrases that describe a picture, how a region element may be written, and contents that stand for "keep".
+DESCRIBES = r"(?i)この画像|画像には|画像です|写真です|イラストです|the image (shows|is|depicts)|this (image|picture) (is|shows)|a (photo|picture) of"
+ELEMENT = r"(?i)<r\b[^>]*?/>[^\n<]*|<r\b[^>]*?>[\s\S]*?</r>|<r\b[^>]*?>[^\n<]*"
+KEEP = r"(?i)^(=>\s*)?keep\b"
+EMPTYISH = r"^(?:=>|->|—|–|-|:|/|\s)+$"
 JUNK = r"^[?？!！。．.\-–—~〜*＊_×xX\s]+$"
 
 
@@ -58,4 +63,26 @@ def meta_no_text(text: Column) -> Column:
     return F.trim(text).rlike(f"(?i){META_NO_TEXT}")
 
 
+def says_nothing(text: Column) -> Column:
+    return meta_no_text(text) | text.rlike(DESCRIBES)
+
+
+def kept(attrs: Column, content: Column) -> Column:
+    """Whether a region element leaves its region as it is."""
+    return attrs.rlike(r"(?i)\bkeep\s*=") | content.rlike(KEEP) | (content == "") | content.rlike(EMPTYISH) | meta_no_text(content)
+
+
+def transcription(reply: Column) -> Column:
+    """A reply's text: that of its region elements in order, else its lines without fences and tags; empty if it only describes."""
+    tag, close = r"(?i)^<r\b([^>]*?)/?>", r"(?i)</r>$"
+    attrs = lambda e: F.regexp_extract(e, tag, 1)
+    content = lambda e: F.trim(F.regexp_replace(F.regexp_replace(e, r"(?i)^<r\b[^>]*>", ""), close, ""))
+    elements = F.filter(F.regexp_extract_all(reply, F.lit(ELEMENT), F.lit(0)), lambda e: F.regexp_extract(e, r"""(?i)\bn\s*=\s*"([0-9]+)""", 1) != "")
+    spoken = F.array_join(F.transform(F.filter(elements, lambda e: ~kept(attrs(e), content(e))), content), " ")
+    lines = F.transform(F.split(F.regexp_replace(reply, r"(?i)```[a-z]*\n?", " "), "\n"), lambda x: F.trim(x))
+    bare = F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"(?i)^[<(]?\s*/?r\b") & ~x.rlike('(?i)keep="true"')), " ")
+    text = F.trim(F.regexp_replace(F.when(F.size(elements) > 0, spoken).otherwise(bare), r"\s+", " "))
+    return F.when(says_nothing(text), "").otherwise(text)
+
+
 SQL_NORMALIZED = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'))"

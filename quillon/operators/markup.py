@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.sources.tables import table
 
-# How a region element may be written, and contents that stand for "keep".
-ELEMENT = r"(?i)<r\b[^>]*?/>[^\n<]*|<r\b[^>]*?>[\s\S]*?</r>|<r\b[^>]*?>[^\n<]*"
-KEEP = r"(?i)^(=>\s*)?keep\b"
-EMPTYISH = r"^(?:=>|->|—|–|-|:|/|\s)+$"
+ELEMENT, KEEP, EMPTYISH = T.ELEMENT, T.KEEP, T.EMPTYISH
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -24,7 +21,7 @@ def parsed(df: DataFrame, text: str, expected: str) -> DataFrame:
     e = df.select(*rest, expected, F.posexplode(F.regexp_extract_all(text, F.lit(ELEMENT), F.lit(0))).alias("pos", "e"))
     e = e.withColumn("attrs", F.regexp_extract("e", r"(?i)^<r\b([^>]*?)/?>", 1)).withColumn("content", F.trim(F.regexp_replace(F.regexp_replace("e", r"(?i)^<r\b[^>]*>", ""), r"(?i)</r>$", "")))
     e = e.withColumn("n", attribute(F.col("attrs"), "n").try_cast("int")).where(F.col("n").between(1, F.col(expected)))
-    keep = F.col("attrs").rlike(r"(?i)\bkeep\s*=") | F.col("content").rlike(KEEP) | (F.col("content") == "") | F.col("content").rlike(EMPTYISH) | T.meta_no_text(F.col("content"))
+    keep = T.kept(F.col("attrs"), F.col("content"))
     return e.select(*rest, "pos", "n", F.nullif(attribute(F.col("attrs"), "spk"), F.lit("")).alias("spk"), F.when(keep, "keep").otherwise(F.col("content")).alias("translation"))
 
 
