@@ -1,66 +1,13 @@
-"""Ordered folds: the entities a conversation has named so far, and greedy line breaking."""
+"""Greedy line breaking as a fold over words."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.grouped import map_groups
 from quillon.sources.tables import table
 
-CAP, WIDTH = 6, 40
-_NAME = re.compile(r"\b[^\W\d_a-zß-öø-ÿ][^\W\d_]{3,}\b")
-# Forms of address that are no part of a name.
-_HONORIFIC = re.compile(r"[-\s]?(?:senpai|sensei|kun|chan|san|sama)$", re.IGNORECASE)
-
-
-def same_person(a: str, b: str) -> bool:
-    """Equal names without forms of address, or one's words all among the other's."""
-    a, b = (_HONORIFIC.sub("", x.lower().strip()).strip() or x.lower().strip() for x in (a, b))
-    if not a or not b:
-        return False
-    ka, kb = (re.sub(r"[\W_]", "", x) for x in (a, b))
-    if a == b or (len(ka) >= 3 and ka == kb):
-        return True
-    ta, tb = set(a.split()), set(b.split())
-    return ta <= tb or tb <= ta
-
-
-def capped(book: list[dict], most: int) -> list[dict]:
-    """Evict the lowest rank (named rows and surer sources rank higher), earliest first; the user's own rows stay."""
-    book = list(book)
-    while len(book) > most:
-        others = [i for i, r in enumerate(book) if r["source"] != "user"]
-        if not others:
-            break
-        book.pop(min(others, key=lambda i: (book[i]["rank"], i)))
-    return book
-
-
-def fold(turns: list[dict], cap: int = CAP) -> list[tuple]:
-    """For each turn the roster before it; afterwards its names are merged into the first row that fits, or appended."""
-    book: list[dict] = []
-    out = []
-    for t in turns:
-        out.append((t["conv_id"], t["turn"], ",".join(f"{r['id']}:{r['name']}" for r in book), sum(r["seen"] for r in book)))
-        for name in _NAME.findall(t["text"] or ""):
-            row = next((r for r in book if same_person(r["name"], name)), None)
-            if row:
-                row["seen"] += 1
-            else:
-                number = max((int(r["id"][1:]) for r in book), default=0) + 1
-                source = "user" if t["role"] == "system" else "speech"
-                book.append({"id": f"c{number}", "name": name, "source": source, "rank": 10 + (3 if source == "user" else 1), "seen": 1})
-        book = capped(book, cap)
-    return out
-
-
-def context_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roster of names as of every turn; each conversation is folded in turn order."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return map_groups(c, "conv_id", ["turn"], fold, "conv_id bigint, turn bigint, roster string, mentions bigint")
+WIDTH = 40
 
 
 def greedy_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +29,5 @@ r AS (SELECT conv_id, turn, ws, 0 AS i, 0 AS lines, 0 AS used FROM w
         CASE WHEN lines > 0 AND used + 1 + length(ws[i + 1]) <= {WIDTH} THEN used + 1 + length(ws[i + 1]) ELSE length(ws[i + 1]) END FROM r WHERE i < len(ws))
 SELECT conv_id, turn, CAST(lines AS INT) AS n_lines, CAST(used AS INT) AS last_used FROM r WHERE i = len(ws)"""
 
-QUERIES = {"context_fold": context_fold, "greedy_wrap": greedy_wrap}
+QUERIES = {"greedy_wrap": greedy_wrap}
 ORACLES = {"greedy_wrap": GREEDY_WRAP}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import hashes as H
@@ -17,22 +19,25 @@ CONTAINER = "(?i)^(.*)/(?:chapter|episode|ep|ch)/[^/]+/?$"
 TAIL = f"(?i)^((?:/[^/]+){{2,}}?)(?:/(?:[0-9]+|{UUID}|(?:chapter|ch|episode|ep)[-_]?[0-9]+))+/?$"
 # Path segments that navigate and never name a story.
 NAV = "(?i)/(?:genre|genres|tag|tags|author|authors|artist|artists|group|groups|search|popular|latest|browse|category|categories)(?:/|$)"
+CHAPTER_PARAMS = ("page", "p", "pg", "chapter", "ch", "ep", "episode", "vol", "volume")
 NAV_LAST = "(?i)/(?:read|view|watch|list|page|pages)/?$"
 
 
 def story_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The story that a page's path names: what stands before a chapter container, or without trailing chapter segments."""
-    p = table(spark, sf_dir, "pages").select("page_id", U.part(F.col("url"), U.PATH).alias("path"))
+    p = table(spark, sf_dir, "pages").select("page_id", U.part(F.col("url"), U.PATH).alias("path"), U.part(F.col("url"), U.SEARCH).alias("search"))
     inside = F.regexp_extract("path", CONTAINER, 1)
     stem = F.when(F.col("path").rlike(CONTAINER), inside).when(F.col("path").rlike(TAIL), F.regexp_extract("path", TAIL, 1)).otherwise(F.regexp_replace("path", "/$", ""))
     p = p.withColumn("stem", stem)
     named = (F.size(U.segments(F.col("stem"))) >= 2) & ~F.col("stem").rlike(NAV) & ~F.col("stem").rlike(NAV_LAST)
-    return p.select("page_id", F.when(named, F.col("stem")).alias("story"))
+    left = F.filter(F.split(F.substring("search", 2, 1_000_000), "&"), lambda x: (x != "") & ~F.regexp_extract(x, "^([^=]*)", 1).isin(*CHAPTER_PARAMS))
+    query = F.when(F.size(left) > 0, F.concat(F.lit("?"), F.array_join(left, "&"))).otherwise("")
+    return p.select("page_id", F.when(named, F.concat("stem", query)).alias("story"))
 
 
 STORY_PATH = f"""WITH {U.SQL_PARTS},
-s AS (SELECT page_id, CASE WHEN regexp_matches(path, '{CONTAINER}') THEN regexp_extract(path, '{CONTAINER}', 1) WHEN regexp_matches(path, '{TAIL}') THEN regexp_extract(path, '{TAIL}', 1) ELSE regexp_replace(path, '/$', '') END AS stem FROM parts)
-SELECT page_id, CASE WHEN len(list_filter(string_split(stem, '/'), lambda x: x <> '')) >= 2 AND NOT regexp_matches(stem, '{NAV}') AND NOT regexp_matches(stem, '{NAV_LAST}') THEN stem END AS story FROM s"""
+s AS (SELECT page_id, list_filter(string_split(substr(search, 2), '&'), lambda x: x <> '' AND regexp_extract(x, '^([^=]*)', 1) NOT IN {CHAPTER_PARAMS}) AS q, CASE WHEN regexp_matches(path, '{CONTAINER}') THEN regexp_extract(path, '{CONTAINER}', 1) WHEN regexp_matches(path, '{TAIL}') THEN regexp_extract(path, '{TAIL}', 1) ELSE regexp_replace(path, '/$', '') END AS stem FROM parts)
+SELECT page_id, CASE WHEN len(list_filter(string_split(stem, '/'), lambda x: x <> '')) >= 2 AND NOT regexp_matches(stem, '{NAV}') AND NOT regexp_matches(stem, '{NAV_LAST}') THEN stem || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS story FROM s"""
 
 
 def hotlink_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +87,19 @@ SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) = trim(regexp_
 
 
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Milliseconds to wait after each error: its value in seconds from 1 to 300, or 45 where it names none."""
+    """Milliseconds to wait after each error: its header as seconds, or as a date against the event's time, from 1 to 300 s; 45 s without one."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    s = F.when(F.col("value") > 0, F.floor("value")).otherwise(45)
-    return e.select("event_id", (F.least(F.greatest(s, F.lit(1)), F.lit(300)) * 1000).cast("bigint").alias("wait_ms"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    stated = F.date_format((F.floor(at / 1_000_000) + F.floor("value") * 5).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    header = F.when(F.col("event_id") % 3 == 0, stated).when(F.col("event_id") % 3 == 1, F.col("value").cast("string")).otherwise("soon")
+    e = e.select("event_id", at.alias("at"), header.alias("header"))
+    by_date = F.unix_micros(F.try_to_timestamp("header", F.lit("yyyy-MM-dd'T'HH:mm:ss"))) / 1000 - F.col("at") / 1000
+    ms = F.coalesce(F.col("header").try_cast("double") * 1000, by_date, F.lit(45_000.0))
+    return e.select("event_id", F.floor(F.least(F.greatest(ms, F.lit(1000.0)), F.lit(300_000.0))).alias("wait_ms"))
 
 
-RETRY_AFTER = "SELECT event_id, CAST(least(greatest(CASE WHEN value > 0 THEN floor(value) ELSE 45 END, 1), 300) * 1000 AS BIGINT) AS wait_ms FROM events WHERE event_type = 'error'"
+RETRY_AFTER = """WITH e AS (SELECT event_id, epoch_us(ts) AS at_, value FROM events WHERE event_type = 'error')
+SELECT event_id, CAST(floor(least(greatest(CASE event_id % 3 WHEN 0 THEN (at_ // 1000000 + floor(value) * 5) * 1000 - at_ / 1000 WHEN 1 THEN value * 1000 ELSE 45000 END, 1000), 300000)) AS BIGINT) AS wait_ms FROM e"""
 
 
 def settings_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,31 +113,15 @@ SETTINGS_OVERLAY = """WITH s AS (SELECT event_id, least(greatest(coalesce(TRY_CA
 SELECT event_id, size, mode, md5('[' || size || ',"' || mode || '"]') AS fingerprint FROM s"""
 
 
-def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each supplier with the override of its scope, else of its nation's name, else its own balance."""
-    s, n, r = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    scoped = r.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.max("c_acctbal").alias("scoped"))
-    bare = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"), F.lit(0.0).alias("bare"))
-    out = s.join(bare, "s_nationkey", "left").join(scoped.where("s_nationkey % 2 = 0"), "s_nationkey", "left")
-    return out.select("s_suppkey", F.coalesce("scoped", "bare", "s_acctbal").alias("value"), F.when(F.col("scoped").isNotNull(), "scope").when(F.col("bare").isNotNull(), "bare").otherwise("own").alias("tier"))
-
-
-OVERRIDE_JOIN = """WITH scoped AS (SELECT c_nationkey AS k, max(c_acctbal) AS scoped FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING c_nationkey % 2 = 0),
-bare AS (SELECT n_nationkey AS k, 0.0::DOUBLE AS bare FROM nation WHERE n_regionkey = 1)
-SELECT s_suppkey, coalesce(scoped, bare, s_acctbal) AS value, CASE WHEN scoped IS NOT NULL THEN 'scope' WHEN bare IS NOT NULL THEN 'bare' ELSE 'own' END AS tier
-FROM supplier LEFT JOIN bare ON bare.k = s_nationkey LEFT JOIN scoped ON scoped.k = s_nationkey"""
-
-
 def ensure_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without an id get the next ones after the largest, in order, in each nation."""
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("id"))
-    nation = Window.partitionBy("c_nationkey")
-    n = F.row_number().over(Window.partitionBy("c_nationkey", F.col("id").isNull()).orderBy("c_custkey"))
-    return c.select("c_nationkey", "c_custkey", F.coalesce("id", F.coalesce(F.max("id").over(nation), F.lit(0)) + n).alias("id"))
+    """Rows without an id get the next ones after the largest, in order, in each book of twenty neighbours."""
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 20).alias("book"), "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("id"))
+    n = F.row_number().over(Window.partitionBy("book", F.col("id").isNull()).orderBy("c_custkey"))
+    return c.select("book", "c_custkey", F.coalesce("id", F.coalesce(F.max("id").over(Window.partitionBy("book")), F.lit(0)) + n).alias("id"))
 
 
-ENSURE_IDS = """WITH c AS (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS id FROM customer)
-SELECT c_nationkey, c_custkey, coalesce(id, coalesce(max(id) OVER (PARTITION BY c_nationkey), 0) + row_number() OVER (PARTITION BY c_nationkey, id IS NULL ORDER BY c_custkey)) AS id FROM c"""
+ENSURE_IDS = """WITH c AS (SELECT c_custkey // 20 AS book, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS id FROM customer)
+SELECT book, c_custkey, coalesce(id, coalesce(max(id) OVER (PARTITION BY book), 0) + row_number() OVER (PARTITION BY book, id IS NULL ORDER BY c_custkey)) AS id FROM c"""
 
 
 def pick_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,49 +157,75 @@ LINE_UNIT = f"""WITH {BOXES}, d AS (SELECT page_id, list_sort(list(least(x2 - x1
 SELECT page_id, d[len(d) // 2 + 1] AS median, d[greatest(1, len(d) // 2) // 2 + 1] AS unit FROM d"""
 
 
+#: What a page of boxes measures.
+PAGE_W, PAGE_H = 800.0, 700.0
+_SMALL, _NEAR = 0.005 * PAGE_W * PAGE_H, 0.05 * math.hypot(PAGE_W, PAGE_H)
+
+
 def split_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small boxes that have another small one near by, which are read last."""
-    b = boxes(spark, sf_dir).withColumn("small", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) < 2500)
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    small = b.where("small").select("page_id", "pos", cx.alias("cx"), cy.alias("cy"))
+    """Small boxes that have another small one near by, edge to edge, which are read last."""
+    small = boxes(spark, sf_dir).where((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) < _SMALL)
     a, o = small.alias("a"), small.alias("o")
-    near = F.pow(F.col("a.cx") - F.col("o.cx"), 2) + F.pow(F.col("a.cy") - F.col("o.cy"), 2) <= 3600
+    gap = [F.greatest(F.lit(0.0), F.col(f"a.{n}1") - F.col(f"o.{n}2"), F.col(f"o.{n}1") - F.col(f"a.{n}2")) for n in "xy"]
+    near = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]) < _NEAR
     return a.join(o, (F.col("a.page_id") == F.col("o.page_id")) & (F.col("a.pos") != F.col("o.pos")) & near, "left_semi").select("page_id", "pos")
 
 
-SPLIT_DEFERRED = f"""WITH {BOXES}, s AS (SELECT page_id, pos, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM boxes WHERE (x2 - x1) * (y2 - y1) < 2500)
-SELECT page_id, pos FROM s a WHERE EXISTS (SELECT 1 FROM s o WHERE o.page_id = a.page_id AND o.pos <> a.pos AND power(a.cx - o.cx, 2) + power(a.cy - o.cy, 2) <= 3600)"""
+SPLIT_DEFERRED = f"""WITH {BOXES}, s AS (SELECT * FROM boxes WHERE (x2 - x1) * (y2 - y1) < {_SMALL})
+SELECT page_id, pos FROM s a WHERE EXISTS (SELECT 1 FROM s o WHERE o.page_id = a.page_id AND o.pos <> a.pos
+    AND sqrt(power(greatest(0.0, a.x1 - o.x2, o.x1 - a.x2), 2) + power(greatest(0.0, a.y1 - o.y2, o.y1 - a.y2), 2)) < {_NEAR})"""
+
+_SEAM_H = 300
+_BAND = max(24, math.floor(0.06 * _SEAM_H + 0.5))
 
 
 def seam_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of which a low box continues in a high box of the next page: 40 units and 40 % of overlap across."""
+    """Pages of which a low box continues in a high box of the next page: near the cut by 6 % of the height, 40 units and 40 % of overlap across."""
     b = boxes(spark, sf_dir)
-    low = b.where("y2 >= 280").select("page_id", F.col("x1").alias("ax1"), F.col("x2").alias("ax2"))
-    high = b.where("y1 <= 40").select((F.col("page_id") - 1).alias("page_id"), F.col("x1").alias("bx1"), F.col("x2").alias("bx2"))
+    low = b.where(F.lit(_SEAM_H) - F.col("y2") <= _BAND).select("page_id", F.col("x1").alias("ax1"), F.col("x2").alias("ax2"))
+    high = b.where(F.col("y1") <= _BAND).select((F.col("page_id") - 1).alias("page_id"), F.col("x1").alias("bx1"), F.col("x2").alias("bx2"))
     across = F.least("ax2", "bx2") - F.greatest("ax1", "bx1")
     narrow = F.least(F.col("ax2") - F.col("ax1"), F.col("bx2") - F.col("bx1"))
     return low.join(high, "page_id").where((across >= 40) & (across >= 0.4 * narrow)).groupBy("page_id").agg(F.count("*").alias("n_links"))
 
 
 SEAM_LINKED = f"""WITH {BOXES}
-SELECT a.page_id, count(*) AS n_links FROM boxes a JOIN boxes b ON b.page_id = a.page_id + 1 AND a.y2 >= 280 AND b.y1 <= 40
+SELECT a.page_id, count(*) AS n_links FROM boxes a JOIN boxes b ON b.page_id = a.page_id + 1 AND {_SEAM_H} - a.y2 <= {_BAND} AND b.y1 <= {_BAND}
     AND least(a.x2, b.x2) - greatest(a.x1, b.x1) >= 40 AND least(a.x2, b.x2) - greatest(a.x1, b.x1) >= 0.4 * least(a.x2 - a.x1, b.x2 - b.x1) GROUP BY 1"""
 
+#: How far a box's area reaches beyond it, and the share of the smaller area that two must share to be divided.
+_REACH, _SHARED = 30.0, 0.05
+
 
 def divider_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips of boxes at the mid-lines to those beside them: each box's tightest left and right limits."""
+    """Limits of boxes whose areas overlap while the boxes are apart: the mid-line between them, across if they are apart so, else down."""
     b = boxes(spark, sf_dir)
-    a, o = b.alias("a"), b.alias("o")
-    level = (F.col("a.page_id") == F.col("o.page_id")) & (F.col("a.y1") < F.col("o.y2")) & (F.col("o.y1") < F.col("a.y2")) & (F.col("a.pos") != F.col("o.pos"))
-    p = a.join(o, level & ((F.col("a.x2") <= F.col("o.x1")) | (F.col("o.x2") <= F.col("a.x1"))))
-    left = F.when(F.col("o.x2") <= F.col("a.x1"), (F.col("o.x2") + F.col("a.x1")) / 2)
-    right = F.when(F.col("a.x2") <= F.col("o.x1"), (F.col("a.x2") + F.col("o.x1")) / 2)
-    return p.groupBy(F.col("a.page_id").alias("page_id"), F.col("a.pos").alias("pos")).agg(F.max(left).alias("clip_left"), F.min(right).alias("clip_right"))
+    a, o, c = b.alias("a"), b.alias("o"), F.col
+    shared = [F.least(c(f"a.{n}2"), c(f"o.{n}2")) - F.greatest(c(f"a.{n}1"), c(f"o.{n}1")) + 2 * _REACH for n in "xy"]
+    area = lambda s: (c(f"{s}.x2") - c(f"{s}.x1") + 2 * _REACH) * (c(f"{s}.y2") - c(f"{s}.y1") + 2 * _REACH)
+    across, down = ((c(f"a.{n}2") <= c(f"o.{n}1")) | (c(f"o.{n}2") <= c(f"a.{n}1")) for n in "xy")
+    met = (c("a.page_id") == c("o.page_id")) & (c("a.pos") != c("o.pos")) & (shared[0] > 0) & (shared[1] > 0)
+    p = a.join(o, met & (shared[0] * shared[1] > F.least(area("a"), area("o")) * _SHARED) & (across | down))
+
+    def limits(n: str, when: Column) -> list[Column]:
+        before = c(f"a.{n}2") <= c(f"o.{n}1")
+        mid = F.when(before, (c(f"a.{n}2") + c(f"o.{n}1")) / 2).otherwise((c(f"o.{n}2") + c(f"a.{n}1")) / 2)
+        return [F.max(F.when(when & ~before, mid)).alias(f"{n}_from"), F.min(F.when(when & before, mid)).alias(f"{n}_to")]
+
+    return p.groupBy(c("a.page_id").alias("page_id"), c("a.pos").alias("pos")).agg(*limits("x", across), *limits("y", ~across & down))
+
+
+def _sql_limits(n: str, when: str) -> str:
+    low, high = f"max(CASE WHEN {when} AND o.{n}2 <= a.{n}1 AND NOT a.{n}2 <= o.{n}1 THEN (o.{n}2 + a.{n}1) / 2 END) AS {n}_from", f"min(CASE WHEN {when} AND a.{n}2 <= o.{n}1 THEN (a.{n}2 + o.{n}1) / 2 END) AS {n}_to"
+    return f"{low}, {high}"
 
 
+_ACROSS, _DOWN = ("(a.{0}2 <= o.{0}1 OR o.{0}2 <= a.{0}1)".format(n) for n in "xy")
+_OVER = "(least(a.{0}2, o.{0}2) - greatest(a.{0}1, o.{0}1) + {1})"
 DIVIDER_CLIPS = f"""WITH {BOXES}
-SELECT a.page_id, a.pos, max(CASE WHEN o.x2 <= a.x1 THEN (o.x2 + a.x1) / 2 END) AS clip_left, min(CASE WHEN a.x2 <= o.x1 THEN (a.x2 + o.x1) / 2 END) AS clip_right
-FROM boxes a JOIN boxes o ON a.page_id = o.page_id AND a.pos <> o.pos AND a.y1 < o.y2 AND o.y1 < a.y2 AND (a.x2 <= o.x1 OR o.x2 <= a.x1) GROUP BY ALL"""
+SELECT a.page_id, a.pos, {_sql_limits('x', _ACROSS)}, {_sql_limits('y', f'NOT {_ACROSS} AND {_DOWN}')}
+FROM boxes a JOIN boxes o ON a.page_id = o.page_id AND a.pos <> o.pos AND {_OVER.format('x', 2 * _REACH)} > 0 AND {_OVER.format('y', 2 * _REACH)} > 0 AND ({_ACROSS} OR {_DOWN})
+    AND {_OVER.format('x', 2 * _REACH)} * {_OVER.format('y', 2 * _REACH)} > {_SHARED} * least((a.x2 - a.x1 + {2 * _REACH}) * (a.y2 - a.y1 + {2 * _REACH}), (o.x2 - o.x1 + {2 * _REACH}) * (o.y2 - o.y1 + {2 * _REACH})) GROUP BY ALL"""
 
 
 def run_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +273,12 @@ SELECT l_orderkey, count(*) AS n_ready FROM k WHERE l_linenumber = k GROUP BY 1"
 
 
 def count_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct logical pages of each store among whole rows of the current epoch."""
-    e = table(spark, sf_dir, "events").where((F.col("event_id") % 10 != 0) & (F.col("event_id") % 7 != 0))
-    return e.groupBy("event_type").agg(F.countDistinct("user_id").alias("n_pages"))
+    """Distinct logical pages of each user's store among whole rows of the current epoch: signups are of an older one, small events partial."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'signup' AND value >= 15")
+    return e.groupBy("user_id").agg(F.count_distinct(F.get_json_object("props", "$.k")).alias("n_pages"))
 
 
-COUNT_PAGES = "SELECT event_type, count(DISTINCT user_id) AS n_pages FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0 GROUP BY 1"
+COUNT_PAGES = "SELECT user_id, count(DISTINCT props ->> '$.k') AS n_pages FROM events WHERE event_type <> 'signup' AND value >= 15 GROUP BY 1"
 
 
 def pick_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,14 +293,14 @@ PICK_RETRY = "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P'
 def gender_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text to M, F or ?; the word "male" is looked for first, so "female" is M, as it always was."""
     c = table(spark, sf_dir, "customer")
-    free = F.when(F.col("c_custkey") % 4 == 0, "Female").when(F.col("c_custkey") % 4 == 1, "f").when(F.col("c_custkey") % 4 == 2, "M").otherwise(F.col("c_mktsegment"))
+    free = F.when(F.col("c_custkey") % 6 == 0, "Female").when(F.col("c_custkey") % 6 == 1, "f").when(F.col("c_custkey") % 6 == 2, "M").when(F.col("c_custkey") % 6 == 3, "ผู้หญิง").when(F.col("c_custkey") % 6 == 4, "เด็กชาย").otherwise(F.col("c_mktsegment"))
     c = c.select("c_custkey", F.lower(free).alias("g"))
     g = F.col("g")
-    return c.select("c_custkey", F.when((g == "m") | g.contains("male"), "M").when((g == "f") | g.contains("female"), "F").otherwise("?").alias("gender"))
+    return c.select("c_custkey", F.when((g == "m") | g.rlike("male|ชาย|ผู้ชาย"), "M").when((g == "f") | g.rlike("female|หญิง|ผู้หญิง"), "F").otherwise("?").alias("gender"))
 
 
-GENDER_WORDS = """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'f' WHEN 2 THEN 'm' ELSE lower(c_mktsegment) END AS g FROM customer)
-SELECT c_custkey, CASE WHEN g = 'm' OR contains(g, 'male') THEN 'M' WHEN g = 'f' OR contains(g, 'female') THEN 'F' ELSE '?' END AS gender FROM c"""
+GENDER_WORDS = """WITH c AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'female' WHEN 1 THEN 'f' WHEN 2 THEN 'm' WHEN 3 THEN 'ผู้หญิง' WHEN 4 THEN 'เด็กชาย' ELSE lower(c_mktsegment) END AS g FROM customer)
+SELECT c_custkey, CASE WHEN g = 'm' OR regexp_matches(g, 'male|ชาย|ผู้ชาย') THEN 'M' WHEN g = 'f' OR regexp_matches(g, 'female|หญิง|ผู้หญิง') THEN 'F' ELSE '?' END AS gender FROM c"""
 
 def byte_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short hash of each page's address."""
@@ -329,6 +350,6 @@ NEW_LINKS = """WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^
 p AS (SELECT page_id, i - 1 AS pos, l[i] AS href FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM h))
 SELECT href, arg_min(page_id, ROW(page_id, pos)) AS page_id, CAST(arg_min(pos, ROW(page_id, pos)) AS INT) AS pos FROM p WHERE href NOT IN (SELECT href FROM p WHERE page_id = 0) GROUP BY href"""
 
-_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, override_join, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words, byte_hash, signature_contrast, fetch_policy, new_links]
+_F = [story_path, hotlink_hosts, ranked_search, turn_similarity, retry_after, settings_overlay, ensure_ids, pick_activity, phase_counts, line_unit, split_deferred, seam_linked, divider_clips, run_retention, earliest_marks, remaining_pages, take_ordered, count_pages, pick_retry, gender_words, byte_hash, signature_contrast, fetch_policy, new_links]
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F}

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.sources.tables import table
 
-LRU_PAGES, PARTIALS, BYTES = 12, 5, 9000.0
-EPOCH_MOD = 10
+LRU_PAGES, PARTIALS, BYTES = 12, 5, 600.0
 LAST_PAIRS = 3
 COOLDOWN_S, PARKED_AFTER = 60, 3
 CHUNK = 3
@@ -16,26 +15,28 @@ SEAM_GAP = 40
 
 
 def lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a grouped LRU cache keeps, one cache an event type: rows of the current epoch; of whole pages the latest
-    LRU_PAGES; of partial rows the latest PARTIALS; of those, latest first, what fits into BYTES."""
-    e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "ts", "value", (F.col("event_id") % 7 == 0).alias("partial")).where(F.col("event_id") % EPOCH_MOD != 0)
-    full = e.where("NOT partial").groupBy("event_type", "user_id").agg(F.max("ts").alias("atime"), F.sum("value").alias("bytes"), F.count("*").alias("n")).withColumn("event_id", F.lit(-1).cast("bigint"))
-    full = full.withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("atime"), "user_id"))).where(F.col("k") <= LRU_PAGES)
-    part = e.where("partial").select("event_type", "user_id", F.col("ts").alias("atime"), F.col("value").alias("bytes"), F.lit(1).cast("bigint").alias("n"), "event_id")
-    part = part.withColumn("k", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("atime"), "event_id"))).where(F.col("k") <= PARTIALS)
+    """What a grouped LRU cache keeps, one cache a user: rows of the current epoch; of whole pages the latest LRU_PAGES; of partial rows the
+    latest PARTIALS; of those, latest first, what fits into BYTES. An event's number is its page, signups are of an older epoch, small ones are partial."""
+    page = F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(-1))
+    e = table(spark, sf_dir, "events").select("user_id", page.alias("page"), "event_id", "ts", "value", (F.col("value") < 15).alias("partial")).where("event_type <> 'signup'")
+    cache = Window.partitionBy("user_id")
+    full = e.where("NOT partial").groupBy("user_id", "page").agg(F.max("ts").alias("atime"), F.sum("value").alias("bytes"), F.count("*").alias("n")).withColumn("event_id", F.lit(-1).cast("bigint"))
+    full = full.withColumn("k", F.row_number().over(cache.orderBy(F.desc("atime"), "page"))).where(F.col("k") <= LRU_PAGES)
+    part = e.where("partial").select("user_id", "page", F.col("ts").alias("atime"), F.col("value").alias("bytes"), F.lit(1).cast("bigint").alias("n"), "event_id")
+    part = part.withColumn("k", F.row_number().over(cache.orderBy(F.desc("atime"), "event_id"))).where(F.col("k") <= PARTIALS)
     left = full.unionByName(part)  # LRU_PAGES + PARTIALS rows a cache
-    newest = Window.partitionBy("event_type").orderBy(F.desc("atime"), "user_id", "event_id")
+    newest = cache.orderBy(F.desc("atime"), "page", "event_id")
     kept = left.withColumn("total", F.round(F.sum("bytes").over(newest.rowsBetween(Window.unboundedPreceding, 0)), 4)).where(F.col("total") <= BYTES)
-    return kept.select("event_type", "user_id", "event_id", "n", F.round("bytes", 4).alias("bytes"))
+    return kept.select("user_id", "page", "event_id", "n", F.round("bytes", 4).alias("bytes"))
 
 
-LRU_EVICT = f"""WITH e AS (SELECT event_type, user_id, event_id, ts, value, event_id % 7 = 0 AS partial FROM events WHERE event_id % {EPOCH_MOD} <> 0),
-f AS (SELECT event_type, user_id, max(ts) AS atime, sum(value) AS bytes, count(*) AS n, CAST(-1 AS BIGINT) AS event_id FROM e WHERE NOT partial GROUP BY event_type, user_id
-    QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY max(ts) DESC, user_id) <= {LRU_PAGES}),
-p AS (SELECT event_type, user_id, ts AS atime, value AS bytes, CAST(1 AS BIGINT) AS n, event_id FROM e WHERE partial QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= {PARTIALS}),
+LRU_EVICT = f"""WITH e AS (SELECT user_id, coalesce(TRY_CAST(props ->> '$.k' AS BIGINT), -1) AS page, event_id, ts, value, value < 15 AS partial FROM events WHERE event_type <> 'signup'),
+f AS (SELECT user_id, page, max(ts) AS atime, sum(value) AS bytes, count(*) AS n, CAST(-1 AS BIGINT) AS event_id FROM e WHERE NOT partial GROUP BY user_id, page
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, page) <= {LRU_PAGES}),
+p AS (SELECT user_id, page, ts AS atime, value AS bytes, CAST(1 AS BIGINT) AS n, event_id FROM e WHERE partial QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= {PARTIALS}),
 u AS (SELECT * FROM f UNION ALL BY NAME SELECT * FROM p),
-t AS (SELECT *, round(sum(bytes) OVER (PARTITION BY event_type ORDER BY atime DESC, user_id, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM u)
-SELECT event_type, user_id, event_id, n, round(bytes, 4) AS bytes FROM t WHERE total <= {BYTES}"""
+t AS (SELECT *, round(sum(bytes) OVER (PARTITION BY user_id ORDER BY atime DESC, page, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM u)
+SELECT user_id, page, event_id, n, round(bytes, 4) AS bytes FROM t WHERE total <= {BYTES}"""
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +172,12 @@ def context_last_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each turn the LAST_PAIRS latest answered questions before it, as turn numbers."""
     order = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("asked", (F.lag("role").over(order) == "user") & (F.col("role") == "assistant"))
-    past = F.collect_list(F.when(F.col("asked"), F.col("turn"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    last = F.slice(past, F.greatest(F.lit(1), F.size(past) - LAST_PAIRS + 1), LAST_PAIRS)
-    return c.select("conv_id", "turn", F.array_join(F.transform(last, lambda t: t.cast("string")), ",").alias("pairs"))
+    # Answers are numbered, so that each turn looks up a few numbers and no list grows with the conversation.
+    c = c.withColumn("k", F.coalesce(F.sum(F.col("asked").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = c.select("conv_id", "turn", F.explode_outer(F.when(F.col("k") > 0, F.sequence(F.greatest(F.lit(1), F.col("k") - LAST_PAIRS + 1), F.col("k")))).alias("number"))
+    answers = c.where("asked").select("conv_id", (F.col("k") + 1).alias("number"), F.col("turn").alias("answer"))
+    found = wanted.join(answers, ["conv_id", "number"], "left").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("answer")).alias("past"))
+    return found.select("conv_id", "turn", F.array_join(F.transform("past", lambda t: t.cast("string")), ",").alias("pairs"))
 
 
 CONTEXT_LAST_PAIRS = f"""WITH c AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user' AND role = 'assistant', false) AS asked FROM conversations)
@@ -215,13 +219,13 @@ REQUEST_IDS = """SELECT conv_id, turn, sha256('["' || conv_id || '","' || turn |
 
 
 def cap_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rosters capped at four rows a nation: user rows always stay, else named ones before others and later before earlier."""
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("user"), (F.col("c_acctbal") > 0).cast("int").alias("named"))
-    order = Window.partitionBy("c_nationkey").orderBy(F.desc("user"), F.desc("named"), F.desc("c_custkey"))
-    return c.withColumn("k", F.row_number().over(order)).where("user OR k <= 4").select("c_nationkey", "c_custkey")
+    """Rosters of twenty neighbours capped at four rows: user rows always stay, else named ones before others and later before earlier."""
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 20).alias("book"), "c_custkey", (F.col("c_mktsegment") == "BUILDING").alias("user"), (F.col("c_acctbal") > 0).cast("int").alias("named"))
+    order = Window.partitionBy("book").orderBy(F.desc("user"), F.desc("named"), F.desc("c_custkey"))
+    return c.withColumn("k", F.row_number().over(order)).where("user OR k <= 4").select("book", "c_custkey")
 
 
-CAP_BY_RANK = """SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal > 0 DESC, c_custkey DESC) AS k FROM customer)
+CAP_BY_RANK = """SELECT c_custkey // 20 AS book, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal > 0 DESC, c_custkey DESC) AS k FROM customer)
 WHERE c_mktsegment = 'BUILDING' OR k <= 4"""
 
 

@@ -18,18 +18,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillon.operators.state import COOLDOWN_S, PARKED_AFTER, PROGRESS_DEDUPE
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All of a key's rows of one micro-batch in the order of time, however many Arrow batches they come in."""
+    return pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
+
+
 def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows whose sequence is no lower than the highest seen of their run."""
     highest = state.get[0] if state.exists else None
-    for frame in frames:
-        frame = frame.sort_values(["ts", "event_id"])
-        keep = []
-        for sequence in frame["sequence"]:
-            keep.append(highest is None or sequence >= highest)
-            highest = sequence if highest is None else max(highest, sequence)
-        yield frame.loc[keep, ["event_id", "user_id", "sequence"]]
+    frame = _in_order(frames)
+    before = frame["sequence"].cummax().shift()
     if highest is not None:
-        state.update((int(highest),))
+        before = before.clip(lower=highest).fillna(highest)
+    yield frame.loc[~(frame["sequence"] < before), ["event_id", "user_id", "sequence"]]
+    top = int(frame["sequence"].max())
+    state.update((top if highest is None else max(highest, top),))
 
 
 def fenced(updates: DataFrame) -> DataFrame:
@@ -40,16 +43,14 @@ def fenced(updates: DataFrame) -> DataFrame:
 def cool(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """After each failure the count since the last success, the next try and whether the key is parked."""
     n = state.get[0] if state.exists else 0
-    for frame in frames:
-        frame = frame.sort_values(["ts", "event_id"])
-        rows = []
-        for r in frame.itertuples():
-            if r.event_type == "purchase":
-                n = 0
-            elif r.event_type == "error":
-                n += 1
-                rows.append((r.event_id, r.user_id, n, r.ts + pd.Timedelta(seconds=COOLDOWN_S), n >= PARKED_AFTER))
-        yield pd.DataFrame(rows, columns=["event_id", "user_id", "n", "next_ok", "parked"])
+    rows = []
+    for r in _in_order(frames).itertuples():
+        if r.event_type == "purchase":
+            n = 0
+        elif r.event_type == "error":
+            n += 1
+            rows.append((r.event_id, r.user_id, n, r.ts + pd.Timedelta(seconds=COOLDOWN_S), n >= PARKED_AFTER))
+    yield pd.DataFrame(rows, columns=["event_id", "user_id", "n", "next_ok", "parked"])
     state.update((int(n),))
 
 
@@ -61,7 +62,10 @@ def cooled(events: DataFrame) -> DataFrame:
 def progress_fence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream through the fence, to files and back."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "checkpoints")
     out = f"{base.rstrip('/')}/quillon/fence-{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     updates = events.select("event_id", "user_id", "ts", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("sequence"))

@@ -1,56 +1,43 @@
-"""Order-dependent operators against plain versions, and rules on invented cases."""
+"""Order-dependent operators and rules on invented cases."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import text, urls
-from quillon.operators import context, layout
+from quillon.functions import folds, text, urls
+from quillon.operators import layout
 
+BOX = "page_id bigint, pos int, x1 double, y1 double, x2 double, y2 double, conf double"
 
-def box(pos, x1, y1, x2, y2, conf=0.9):
-    return {"page_id": 1, "pos": pos, "x1": float(x1), "y1": float(y1), "x2": float(x2), "y2": float(y2), "conf": conf}
 
+def page(spark, *boxes):
+    return spark.createDataFrame([(1, i + 1, *map(float, b[:4]), b[4] if len(b) > 4 else 0.9) for i, b in enumerate(boxes)], BOX)
 
-def test_suppression_keeps_the_surest_and_ties_to_the_first():
-    kept = layout.suppressed([box(1, 0, 0, 100, 100, 0.5), box(2, 5, 5, 100, 100, 0.9), box(3, 300, 0, 400, 100, 0.1), box(4, 5, 5, 100, 100, 0.9)])
-    assert [b["pos"] for b in kept] == [2, 3]
-    assert layout.suppressed([]) == []
 
+def test_suppression_keeps_the_surest_and_ties_to_the_first(spark):
+    kept = layout.suppressed(page(spark, (0, 0, 100, 100, 0.5), (5, 5, 100, 100, 0.9), (300, 0, 400, 100, 0.1), (5, 5, 100, 100, 0.9)))
+    assert [r.pos for r in kept.collect()] == [2, 3]
+    assert layout.suppressed(page(spark, (0, 0, 1, 1)).limit(0)).count() == 0
 
-def test_containment_in_order():
-    big, inner, other = box(1, 0, 0, 100, 100, 0.9), box(2, 10, 10, 50, 50, 0.4), box(3, 12, 12, 49, 49, 0.8)
-    assert [b["pos"] for b in layout.uncontained([big, inner, other])] == [1]
-    assert [b["pos"] for b in layout.uncontained([inner, other])] == [3]
-    assert [b["pos"] for b in layout.uncontained([box(1, 0, 0, 10, 10), box(2, 0, 0, 10, 10)])] == [2]
-    assert layout.uncontained([]) == []
 
+def test_pairs_are_settled_in_order(spark):
+    pairs = [[(1, 2, 1), (1, 3, 3), (2, 3, 3)], [(1, 2, 2), (2, 3, 3)], []]
+    df = spark.createDataFrame([(i, [dict(zip(("pos_a", "pos_b", "loser"), c, strict=True)) for c in own]) for i, own in enumerate(pairs)], "i int, c array<struct<pos_a:int,pos_b:int,loser:int>>")
+    assert [r.g for r in df.orderBy("i").select(folds.left_over(F.col("c")).alias("g")).collect()] == [[1, 3], [2], []]
 
-def test_reading_order_both_ways():
-    grid = [box(1, 0, 0, 40, 40), box(2, 60, 0, 100, 40), box(3, 0, 60, 40, 100), box(4, 60, 60, 100, 100)]
-    assert [r[1] for r in layout.reading_ranks(grid)] == [2, 1, 4, 3]
-    assert [r[1] for r in layout.reading_ranks(grid, right_to_left=False)] == [1, 2, 3, 4]
-    assert [r[1] for r in layout.reading_ranks([box(7, 0, 0, 10, 10)])] == [7]
 
+def test_reading_order_both_ways(spark):
+    grid = page(spark, (0, 0, 40, 40), (60, 0, 100, 40), (0, 60, 40, 100), (60, 60, 100, 100))
+    for right_to_left, want in ((True, [2, 1, 4, 3]), (False, [1, 2, 3, 4])):
+        assert [r.pos for r in layout.ranked(grid, right_to_left).orderBy("rank").collect()] == want
+    # A box joins the column of the first head that it overlaps; of two at one height the one nearer the reading side is first.
+    band = page(spark, (50, 0, 100, 30), (0, 0, 60, 30), (70, 0, 90, 30), (0, 0, 20, 30))
+    assert [r.pos for r in layout.ranked(band).orderBy("rank").collect()] == [3, 1, 2, 4]
 
-def test_clusters_are_transitive():
-    rows = layout.clustered([box(1, 0, 0, 10, 10), box(2, 30, 0, 40, 10), box(3, 60, 0, 70, 10), box(4, 500, 500, 510, 510)])
-    assert [r[2] for r in rows] == [1, 1, 1, 4]
 
-
-def test_cap_never_evicts_user_rows():
-    book = [{"source": "user", "rank": 3}, {"source": "speech", "rank": 11}, {"source": "speech", "rank": 1}, {"source": "speech", "rank": 1}]
-    assert [r["rank"] for r in context.capped(book, 2)] == [3, 11]
-    assert len(context.capped([{"source": "user", "rank": 3}] * 4, 2)) == 4
-
-
-def test_same_person():
-    assert context.same_person("Ada-san", "ada") and context.same_person("Ada Byron", "Byron") and not context.same_person("Ada", "Bob")
-
-
-def test_fold_gives_the_state_before_each_turn():
-    turns = [{"conv_id": 1, "turn": i, "role": "user", "text": t} for i, t in enumerate(["Alda meets Boris", None, "alda Alda"])]
-    assert [r[2] for r in context.fold(turns)] == ["", "c1:Alda,c2:Boris", "c1:Alda,c2:Boris"]
+def test_clusters_are_transitive(spark):
+    rows = layout.clustered(page(spark, (0, 0, 10, 10), (30, 0, 40, 10), (60, 0, 70, 10), (500, 500, 510, 510))).orderBy("pos").collect()
+    assert [r.cluster for r in rows] == [1, 1, 1, 4]
 
 
 def test_urls(spark):
