@@ -2,9 +2,12 @@
 
 Each scan partition is packed by itself, in one pass and without a shuffle. A document longer than a window first
 fills whole windows; what remains is placed whole, online, into the fill level that leaves the smallest sum of squared
-counts of partially filled windows. A level array holds those counts. When the partition ends, or more windows than
-`max_open` are open, the open ones are closed: their pieces are laid end to end and cut at full windows, the rest at
-powers of two, which need no padding. No token is dropped and memory is bounded by max_open windows.
+counts of partially filled windows. A level array holds those counts. When the partition ends, the open windows are closed:
+their pieces are laid end to end and cut at full windows, the rest at powers of two, which need no padding. No token is dropped.
+
+Open windows are held in memory, so there are `max_open` of them at most, 32 MB. The rule keeps their number near the square root
+of the documents, so that a partition needs millions of documents to come there; then the fullest windows are closed until half
+of them are left, and the rule goes on with the others.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed as separate documents; an empty table
 gives no rows; columns other than doc_id and text are ignored; a null doc_id stays null.
@@ -25,7 +28,7 @@ from . import tokens
 from .common import lean, table
 
 WINDOW = 2048
-#: Open windows of one partition before they are closed.
+#: Open windows of one partition before the fullest half is closed.
 MAX_OPEN = 4096
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -75,21 +78,21 @@ class SumOfSquares:
         self.count[level + size] += 1
         self.n_open += 1
         if self.n_open > self.max_open:
-            yield from self.close()
+            yield from self.close(self.max_open // 2)
 
-    def close(self) -> Iterator[list[tuple]]:
-        """Close all open windows: those filled to a power of two as they are, the others laid end to end and cut."""
+    def close(self, keep: int = 0) -> Iterator[list[tuple]]:
+        """Close the fullest windows until `keep` are open: those filled to a power of two as they are, the others laid end to end and cut."""
         loose, left = [], 0
-        for level in range(1, self.capacity):
-            for window in self.at[level]:
+        for level in range(self.capacity - 1, 0, -1):
+            while self.at[level] and self.n_open > keep:
+                window = self.at[level].pop()
+                self.count[level] -= 1
+                self.n_open -= 1
                 if level & (level - 1) == 0:
                     yield window
                 else:
                     loose += window
                     left += level
-            self.at[level].clear()
-        self.count[:] = 0
-        self.n_open = 0
         window, room = [], min(self.capacity, 1 << max(left.bit_length() - 1, 0))
         for doc_id, start, ids, total in loose:
             while ids:
