@@ -100,7 +100,7 @@ def _by_shuffle(worded: DataFrame, own: DataFrame, windows: DataFrame, lengths:
     kept = base.select("doc_id", "text_hash", F.explode("hashes").alias("hash")).distinct()
     shared = kept.join(windows.select("hash").distinct(), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set("hash").alias("shared"))
     shared = shared.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "shared")
-    texts = own.dropDuplicates(["doc_id", "text_hash"]).join(shared, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
+    texts = own.join(shared, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
     texts = _with_minima(texts.select("doc_id", "text_hash", words(F.col("text")).alias("ws"), "shared"))
 
     def extended(length: int, hashes: Column) -> Column:
@@ -111,7 +111,7 @@ def _by_shuffle(worded: DataFrame, own: DataFrame, windows: DataFrame, lengths:
     hits = texts.select("doc_id", "text_hash", F.inline(spans)).join(windows.select("length", "key", "items"), ["length", "key"])
     none = [F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("items")]
     hits = hits.select("doc_id", "text_hash", F.lit(None).cast("int").alias("n_words"), "at", "length", "items")
-    return base.select("doc_id", "text_hash", "n_words", *none).unionByName(hits)
+    return base.select("doc_id", "text_hash", "n_words", *none).unionByName(hits)  # repeated rows repeat their hits, which are sets later
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
