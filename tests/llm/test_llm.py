@@ -91,6 +91,19 @@ def test_op3_sum_of_squares_choice():
     assert [sum(len(p[2]) for p in w) // 4 for w in packer.close()] == [4, 2]
 
 
+def test_op3_goes_on_with_the_rule_when_windows_are_closed():
+    r = np.random.default_rng(0)
+    packer, out = packing.SumOfSquares(64, max_open=8), []
+    sizes = r.integers(1, 64, 500).tolist()
+    for i, n in enumerate(sizes):
+        out += packer.add(i, bytes(4 * n))
+        assert packer.n_open == sum(map(len, packer.at)) == packer.count.sum() <= 8
+    out += packer.close()
+    assert packer.n_open == 0 and sum(len(p[2]) // 4 for w in out for p in w) == sum(sizes)
+    totals = [sum(len(p[2]) // 4 for p in w) for w in out]
+    assert all(t == 64 or t & (t - 1) == 0 for t in totals)
+
+
 def test_op9_round_trip(spark, docs, none):
     path = work_path(spark, "test-orc")
     orc_tokens.write_tokens(docs, path)
@@ -104,6 +117,15 @@ def test_op9_round_trip(spark, docs, none):
     assert all(got[k] == want[k] for k in want if k[0] != 6)
     plan = orc_tokens.read_tokens(spark, path).where("doc_id = 9")
     assert plan.count() == 1 and "EqualTo(doc_id,9)" in plan._jdf.queryExecution().toString()
+    # Row groups that can't hold a document are not read: first by their bounds, then, between them, by the Bloom filter.
+    many = work_path(spark, "test-orc")
+    orc_tokens.write_tokens(spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1), many)
+    for wanted, found in ((20_000, 1), (20_001, 0)):
+        search = orc_tokens.read_tokens(spark, many).where(f"doc_id = {wanted}")
+        plan = search._jdf.queryExecution()
+        assert plan.executedPlan().executeCollect().__len__() == found
+        scan = plan.executedPlan().collectLeaves().head()
+        assert scan.metrics().apply("numOutputRows").value() <= orc_tokens.INDEX_ROWS * found
     empty = work_path(spark, "test-orc")
     orc_tokens.write_tokens(none, empty)
     assert orc_tokens.token_digest(spark, empty).count() == 0
