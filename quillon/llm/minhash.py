@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
     mixed = materialise(placed.join(materialise(mixed, "mixed"), "band", "left_semi"), "mixed-members")
     discard(shared, placed)
-    second = materialise(_across(mixed, signed), "more-pairs")
+    second = materialise(_across(mixed, texts.select("node", "signature", "bands")), "more-pairs")
     more = materialise(confirm(second, docs), "more-links")
     top = materialise(_joined(root, more), "components")
     discard(mixed, second, more, root)
@@ -217,7 +217,8 @@ _BLOCK_OUT, _BLOCK_ALL = 1024, 2048
 def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:
     """Likely pairs (a, b) of a band's different components; mixed: band, leader, node and root of every document.
 
-    Blocks of bounded size are compared by counting bits; only pairs whose whole signatures agree enough leave them.
+    Blocks of bounded size are compared by counting bits; only pairs whose whole signatures agree enough leave them, each in the first
+    band that it shares.
     """
     counted = mixed.groupBy("band", "root").count()
     largest = counted.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
@@ -231,7 +232,7 @@ def _across(mixed: DataFrame, signed: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0).cast("bigint"), F.col("alls") - 1)
     outer = placed.where("root <> main").select("*", F.lit(True).alias("outer"), slot("outs").alias("o"), F.explode(every).alias("i"))
     inner = placed.select("*", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outs") - 1)).alias("o"), slot("alls").alias("i"))
-    both = outer.unionByName(inner).select("band", "o", "i", "outer", "node", "root", "main", "leader", "signature")
+    both = outer.unionByName(inner).select("band", "o", "i", "outer", "node", "root", "main", "leader", "signature", "bands")
     return both.groupBy("band", "o", "i").applyInArrow(_compared, "a bigint, b bigint").distinct()
 
 
@@ -250,7 +251,8 @@ def _compared(group: pa.Table) -> pa.Table:
     """Pairs of one block whose signatures agree enough."""
     outer = group.column("outer").to_numpy()
     signature = group.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _LANES)
-    node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    node, root, band = group.column("node").to_numpy(), group.column("root").to_numpy(), group.column("band")[0].as_py()
     left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
     found = [np.zeros((0, 2), np.int64)]
     if len(left) and len(right):
@@ -269,7 +271,10 @@ def _compared(group: pa.Table) -> pa.Table:
             for part in range(0, len(i), 1 << 14):
                 x, y = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
                 agree = _apart(signature[own[x]], signature[right[y]]).sum(axis=1, dtype=np.int64) <= every
-                found.append(np.stack([a[x[agree]], b[y[agree]]], axis=1))
+                x, y = x[agree], y[agree]
+                shared = np.argmax(bands[own[x]] == bands[right[y]], axis=1)
+                here = bands[own[x], shared] == band
+                found.append(np.stack([a[x[here]], b[y[here]]], axis=1))
     pairs = np.concatenate(found)
     return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
