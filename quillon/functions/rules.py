@@ -86,26 +86,24 @@ def reader_id(path: Column) -> Column:
 
 
 def next_address(url: Column, key: Column, step: int = 1) -> Column:
-    """The address of the next page by the shape of this one, if it keeps the chapter's key: page parameter, last segment, numeric hash."""
+    """The address of the next page by the shape of this one, if it keeps the chapter's key: page parameter, last segment, numeric hash.
+
+    Whether the key is kept follows from this page's own key and from which part changes: page parameters are never part of it, a last
+    segment is only where a container or less than three segments make it so, and a numeric hash only where the path has no digit.
+    """
     origin, path, search, hash_ = (U.part(url, p) for p in (U.ORIGIN, U.PATH, U.SEARCH, U.HASH))
     page = F.regexp_extract(search, r"[?&]page=([0-9]+)(?:&|$)", 1)
     ahead = lambda n: (n.try_cast("bigint") + step).cast("string")
     search_on = F.concat(F.regexp_extract(search, r"^(.*[?&]page=)[0-9]+(?:&|$)", 1), ahead(page), F.regexp_extract(search, r"[?&]page=[0-9]+(&.*)?$", 1))
-    by_page = F.when(page != "", F.concat(origin, path, search_on, hash_))
-    segs = U.segments(path)
-    tail, stem = F.try_element_at(segs, F.lit(-1)), F.array_join(F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0))), "/")
-    fits = (F.size(segs) >= 2) & tail.rlike("^[0-9]+$") & stem.rlike("[0-9]")
-    path_on = F.concat(F.lit("/"), stem, F.lit("/"), ahead(tail), F.when(path.endswith("/"), "/").otherwise(""))
-    by_tail = F.when(fits, F.concat(origin, path_on, search, hash_))
+    stem, tail, slash = (F.regexp_extract(path, "^(.*[^/])/+([0-9]+)(/?)$", k) for k in (1, 2, 3))
+    container = "^(.*/chapter/[^/]+)"
+    inside = F.when(path.rlike("/chapter/[^/]"), F.regexp_extract(stem, container, 1) != "").otherwise(stem.rlike("[^/]/+[^/]"))
+    own = U.chapter_key(origin, path, search, hash_) == key
+    by_page = F.when((page != "") & own, F.concat(origin, path, search_on, hash_))
+    by_tail = F.when((tail != "") & stem.rlike("[0-9]") & inside & own, F.concat(origin, stem, F.lit("/"), ahead(tail), slash, search, hash_))
     in_hash, rest = F.regexp_extract(hash_, "^#([0-9]+)(?:-[0-9]*)?$", 1), F.regexp_extract(hash_, "^#[0-9]+(-[0-9]+)?-?$", 1)
-    folded = U.chapter_key(origin, path, search, F.lit("")) == key
-    by_hash = F.when((in_hash != "") & folded, F.concat(origin, path, search, F.lit("#"), ahead(in_hash), rest))
-
-    def kept(shape: Column) -> Column:
-        own = U.chapter_key(*(U.part(shape, p) for p in (U.ORIGIN, U.PATH, U.SEARCH, U.HASH)))
-        return F.when((own == key) & (shape != url), shape)
-
-    return F.coalesce(kept(by_page), kept(by_tail), kept(by_hash))
+    by_hash = F.when((in_hash != "") & path.rlike("[0-9]") & own, F.concat(origin, path, search, F.lit("#"), ahead(in_hash), rest))
+    return F.coalesce(by_page, by_tail, by_hash)
 
 
 def without_honorific(name: Column) -> Column:

@@ -58,6 +58,24 @@ def test_urls(spark):
     assert [(r.url, r.key, r.n) for r in df.collect()] == cases
 
 
+def test_next_addresses(spark):
+    from quillon.functions import rules
+
+    cases = [
+        ("http://h/read/7?page=3&v=1", "http://h/read/7?page=4&v=1"),
+        ("http://h/series/12/4/", "http://h/series/12/5/"),
+        ("http://h/title/4", None),  # its number is the title's
+        ("http://h/a/chapter/9/3", "http://h/a/chapter/9/4"),
+        ("http://h/a/chapter/9", None),
+        ("http://h/x7/y#7-", "http://h/x7/y#8"),
+        ("http://h/x/y#7", None),
+        ("http://h/x/y", None),
+    ]
+    df = spark.createDataFrame([(u,) for u, _ in cases], "url string")
+    key = urls.chapter_key(*(urls.part(F.col("url"), p) for p in (urls.ORIGIN, urls.PATH, urls.SEARCH, urls.HASH)))
+    assert [r.n for r in df.withColumn("key", key).select(rules.next_address(F.col("url"), F.col("key")).alias("n")).collect()] == [w for _, w in cases]
+
+
 def test_text_rules(spark):
     df = spark.createDataFrame([("?!",), ("B",), ("Narrator",), ("Ada",), ("",), ("No readable text here",)], "t string")
     got = df.select(text.usable(F.col("t")).alias("u"), text.meta_no_text(F.col("t")).alias("m")).collect()
