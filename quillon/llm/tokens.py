@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 #: Default vocabulary; only its path is used, the file is never copied.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by one task; beyond it the memory starts anew.
+#: Pieces remembered by one worker, some 45 MB; of more, those that were not seen lately are forgotten.
 MEMORY = 200_000
 
 # Letters and numbers of Unicode below U+0250, as the splitting pattern's \p{L} and \p{N} take them.
@@ -36,16 +36,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
+    """Ids by piece, in two generations: when the younger is full it becomes the older one, whose pieces return as they are met again."""
+
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
+        self.model, self.letters, self.older = model, _byte_letters(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > MEMORY // 2:
+            self.older = dict(self)
+            self.clear()
+
 
 class Encoder:
     """encode(text): the ids as little-endian unsigned 32-bit integers.
@@ -64,11 +73,17 @@ class Encoder:
             return b""
         if _OTHER.search(text) or any(a in text for a in self.added):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
+        self.pieces.age()
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder(path: str | None = None) -> Encoder:
-    """An encoder for one task; what it remembers goes with the task, since workers outlive tasks."""
-    return Encoder(path)
+    """The worker's encoder for a vocabulary; it outlives single tasks, within MEMORY."""
+    path = path or vocabulary_path()
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
