@@ -5,9 +5,6 @@ Late results are told by their sequence, never by event time; a key's state is t
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.operators.state import COOLDOWN_S, PARKED_AFTER, PROGRESS_DEDUPE
+from quillon.sources.work import work_path
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -62,11 +60,7 @@ def cooled(events: DataFrame) -> DataFrame:
 def progress_fence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream through the fence, to files and back."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or os.path.join(tempfile.gettempdir(), "checkpoints")
-    out = f"{base.rstrip('/')}/quillon/fence-{uuid.uuid4().hex}"
+    out = work_path(spark, "fence")
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     updates = events.select("event_id", "user_id", "ts", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("sequence"))
     query = fenced(updates).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")

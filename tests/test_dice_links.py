@@ -5,7 +5,7 @@ from __future__ import annotations
 from quillon.operators import identity
 
 
-def test_dice_pairs_across_blocks(spark, tmp_path, monkeypatch):
+def test_dice_links_across_blocks(spark, tmp_path, monkeypatch):
     letters = "abcdefghijklmnopqrstuvwxyz"
     body = " ".join(letters[i:] + letters[:i] for i in range(0, 26, 3))
     rows = [
@@ -29,5 +29,24 @@ def test_dice_pairs_across_blocks(spark, tmp_path, monkeypatch):
     for texts, grams in ((identity.BLOCK_TEXTS, identity.BLOCK_GRAMS), (1, 50)):
         monkeypatch.setattr(identity, "BLOCK_TEXTS", texts)
         monkeypatch.setattr(identity, "BLOCK_GRAMS", grams)
-        got = [(r.doc_a, r.doc_b, r.dice) for r in identity.dice_pairs(spark, str(tmp_path)).collect()]
-        assert sorted(got) == sorted((*k, v) for k, v in want.items())
+        got = {r.doc_id: (r.n_links, r.class_id) for r in identity.dice_links(spark, str(tmp_path)).collect()}
+        assert got == classes(want, [i for i, _ in kept])
+
+
+def classes(links, ids):
+    """Number of links and smallest document of the class, by document."""
+    least = {i: i for i in ids}
+    for _ in ids:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return {i: (sum(i in pair for pair in links), least[i]) for i in ids}
+
+
+def test_components_of_odd_tables(spark):
+    from quillon.operators.components import components
+
+    edges = [(1, 2), (2, 1), (3, 3), (None, 4), (5, None), (8, 9), (9, 7), (7, 6)] + [(100 + i, 101 + i) for i in range(60)]
+    table = spark.createDataFrame([(a, b, "x", 1) for a, b in edges], "a bigint, b bigint, p string, node int")
+    got = {r.node: r.root for r in components(table).collect()}
+    assert got == {2: 1, 7: 6, 8: 6, 9: 6} | {i: 100 for i in range(101, 161)}
+    assert components(table.limit(0)).count() == 0
