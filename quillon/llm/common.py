@@ -1,23 +1,20 @@
-"""Reading tables and cutting lineage, shared by the operators of this package."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from quillon.sources.tables import table
+from quillon.sources.work import discard, materialise, work_path
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read lazily."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["discard", "fresh", "lean", "materialise", "table", "with_column", "work_path"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -34,48 +31,6 @@ def with_column(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
     return plain.mapInArrow(lean(run), StructType([*plain.schema.fields, field])).toDF(*docs.columns, field.name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the setting is absent and the master is this machine, as in tests, a folder of the machine's own is used;
-    on a cluster that would lose what other machines wrote, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return named or os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it back.
-
-    Later stages then depend on files that survive a lost executor, not on its shuffle output.
-    """
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    written.work_path = path
-    return written
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete what materialise wrote for these tables, which nothing may read any more."""
-    for df in tables:
-        drop_work(df.sparkSession, df.work_path)
-
-
-def drop_work(spark: SparkSession, path: str) -> None:
-    """Delete a path that this package wrote, on whatever store holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """run, after whose last batch the worker gives its memory back; workers outlive their tasks and share a machine."""
 

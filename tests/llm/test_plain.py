@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import components, decontam, html_layout, minhash, pii, superkmer, tiff, toxicity
+from quillon.llm import decontam, html_layout, minhash, pii, superkmer, tiff, toxicity
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -266,14 +266,6 @@ def test_op5_estimate_is_close_to_the_similarity():
         assert abs(minhash.estimate(minhash.ROWS - apart, minhash.ROWS) - both / (2 * n - both)) < 0.07
 
 
-def test_components_of_odd_tables(spark):
-    edges = [(1, 2), (2, 1), (3, 3), (None, 4), (5, None), (8, 9), (9, 7), (7, 6)] + [(100 + i, 101 + i) for i in range(60)]
-    table = spark.createDataFrame([(a, b, "x", 1) for a, b in edges], "a bigint, b bigint, p string, node int")
-    got = {r.node: r.root for r in components.components(table).collect()}
-    assert got == {2: 1, 7: 6, 8: 6, 9: 6} | {i: 100 for i in range(101, 161)}
-    assert components.components(table.limit(0)).count() == 0
-
-
 def test_stages_pass_clashing_columns_on(spark):
     names = ["_id", "_hash", "spans", "toxicity", "found", "gone_id", "leaked_id", "leaked_hash", "a.b", "kept", "text_hash", "Toxicity_"]
     base = spark.createDataFrame([(i, t, "en", "s", None) for i, t in [(1, "plain words a@b.example.com"), (2, None), (2, None), (None, "no id"), (3, "")]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
