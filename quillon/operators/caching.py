@@ -95,12 +95,12 @@ def entry_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRY_MERGES = f"""WITH RECURSIVE {CACHED}, w AS (SELECT o, n, p, s, fp, partial, CASE WHEN p % 2 = 0 THEN 'a' || p ELSE '' END AS t1, CASE WHEN s % 2 = 0 THEN 'b' || s ELSE '' END AS t2, CASE WHEN NOT partial AND p % 3 = 0 THEN p END AS patches,
-    row_number() OVER (PARTITION BY o ORDER BY n, p, s, fp, partial, l) AS k, count(*) OVER (PARTITION BY o) AS c FROM (SELECT *, 0 AS l FROM cached)),
+    row_number() OVER (PARTITION BY o ORDER BY n, p, s, fp, partial) AS k, count(*) OVER (PARTITION BY o) AS c FROM cached),
 r AS (SELECT o, k, c, n, fp, partial, t1, t2, patches, n AS atime FROM w WHERE k = 1
-    UNION ALL SELECT r.o, w.k, r.c, CASE WHEN keep THEN r.n ELSE w.n END, w.fp, CASE WHEN keep THEN r.partial ELSE w.partial END,
-        CASE WHEN keep THEN r.t1 WHEN same AND w.partial AND r.partial THEN coalesce(nullif(w.t1, ''), r.t1) ELSE w.t1 END, CASE WHEN keep THEN r.t2 WHEN same AND w.partial AND r.partial THEN coalesce(nullif(w.t2, ''), r.t2) ELSE w.t2 END,
-        CASE WHEN keep THEN r.patches WHEN same AND NOT w.partial THEN coalesce(w.patches, r.patches) ELSE w.patches END, w.n
-    FROM (SELECT r.*, w.k AS wk, r.fp = w.fp AS same, r.fp = w.fp AND w.partial AND NOT r.partial AS keep FROM r JOIN w ON w.o = r.o AND w.k = r.k + 1) r JOIN w ON w.o = r.o AND w.k = r.wk)
+    UNION ALL SELECT o, k, c, CASE WHEN keep THEN rn ELSE n END, fp, CASE WHEN keep THEN rp ELSE partial END,
+        CASE WHEN keep THEN r1 WHEN same AND partial AND rp THEN coalesce(nullif(t1, ''), r1) ELSE t1 END, CASE WHEN keep THEN r2 WHEN same AND partial AND rp THEN coalesce(nullif(t2, ''), r2) ELSE t2 END,
+        CASE WHEN keep THEN rq WHEN same AND NOT partial THEN coalesce(patches, rq) ELSE patches END, n
+    FROM (SELECT r.o, w.k, r.c, r.n AS rn, r.partial AS rp, r.t1 AS r1, r.t2 AS r2, r.patches AS rq, w.n, w.fp, w.partial, w.t1, w.t2, w.patches, r.fp = w.fp AS same, r.fp = w.fp AND w.partial AND NOT r.partial AS keep FROM r JOIN w ON w.o = r.o AND w.k = r.k + 1))
 SELECT o, n, fp, partial, t1 || '|' || t2 AS texts, patches, atime FROM r WHERE k = c"""
 
 
