@@ -8,14 +8,24 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-from quillon.sources.tables import table
+from quillon.sources import tables
 from quillon.sources.work import discard, materialise, work_path
 
 __all__ = ["discard", "fresh", "lean", "materialise", "table", "with_column", "work_path"]
 
+#: Bytes of one Arrow batch on its way to or from a worker. An executor holds a few for each of its tasks outside its heap, and so
+#: does each worker, so that the default of 64 MB would take several hundred.
+BATCH_BYTES = 8 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, read lazily, in a session whose Arrow batches are small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return tables.table(spark, sf_dir, name)
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores behind it until df has no such column in any case of letters."""
