@@ -141,3 +141,44 @@ def test_fetch_policy(spark):
     ]
     df = spark.createDataFrame([(u, s) for u, s, _ in cases], "u string, s string")
     assert [r.verdict for r in policy.with_verdict(df, "u", "s").collect()] == [w for _, _, w in cases]
+
+
+def test_sources_and_texts_by_place(spark):
+    from quillon.functions import cached
+
+    df = spark.createDataFrame([(["a", "b", "c"], ["x", None]), (["a"], []), ([], ["x"])], "s array<string>, t array<string>")
+    assert [r.o for r in df.select(cached.with_sources(F.col("s"), F.col("t")).alias("o")).collect()] == [["x", "b", "c"], ["a"], []]
+    assert [r.o for r in df.select(cached.filled(F.col("t"), F.col("s"), F.size("s")).alias("o")).collect()] == [["x", "b", "c"], ["a"], []]
+
+
+def test_bits_and_masks(spark):
+    from quillon.functions import cached
+
+    masks = [[0, 255, 255, 0, 0, 0, 0, 255, 255], [0, 7], [255]]
+    df = spark.createDataFrame([(m,) for m in masks], "m array<int>")
+    df = df.withColumn("b", cached.packed_bits(F.col("m")))
+    rows = df.select("b", F.when(F.col("b").isNotNull(), cached.unpacked_bits(F.col("b"), F.size("m"))).alias("back")).collect()
+    assert [r.b for r in rows] == [[0b10000110, 1], None, [1]] and [r.back for r in rows] == [masks[0], None, masks[2]]
+
+
+def test_page_images_of_lazy_and_rotating_sources(spark):
+    from quillon.functions import manifests as M
+
+    html = """<img src='a.jpg' data-src="https://c1.example.com/p/1.jpg"><source srcset="https://c2.example.com/p/1.jpg 1x, b 2x"><img src="//x.example.com/2.PNG?v=1"><img src="data:image/png;base64,xx"><img src="i.svg"><img src="../3.jpg"><img alt=none>"""
+    df = spark.createDataFrame([(html, "https://h.example.com/r/7?x=1")], "html string, url string")
+    urls_of = F.transform(M.image_sources(F.col("html")), lambda s: M.resolved(s, F.col("url")))
+    got = df.select(M.one_a_file(F.filter(urls_of, M.plausible)).alias("u")).first().u
+    assert got == ["https://c1.example.com/p/1.jpg", "https://x.example.com/2.PNG?v=1", "https://h.example.com/r/../3.jpg"]
+
+
+def test_manifests_that_are_broken_or_odd(spark):
+    from quillon.functions import manifests as M
+
+    cases = ["", "{", "[1", '{"pages":"x"}', '{"a":{"b":1}}', '["a","a","/b","https://h/c",""]', '{"files":[{"file":"f"},{"src":"s"},{"x":1}]}', None]
+    df = spark.createDataFrame([(c,) for c in cases], "j string")
+    got = [r.f for r in df.select(M.file_list(F.col("j")).alias("f")).collect()]
+    assert got == [[], [], [], [], [], ["a", "b", "c"], ["f", "s"], []]
+    scripts = ['x={"files":[{"hash":"' + "ab" * 8 + '","hasavif":1}]}', 'x={"files":[{"hash":"no"}]}', "none"]
+    df = spark.createDataFrame([(c,) for c in scripts], "j string")
+    assert [len(r.f) for r in df.select(M.hash_files(F.col("j")).alias("f")).collect()] == [1, 0, 0]
+    assert df.select(M.routing(F.col("j")).alias("r")).where("r IS NOT NULL").count() == 0
