@@ -140,12 +140,23 @@ def image_sources(html: Column) -> Column:
     return F.filter(F.transform(tags, source), lambda s: s.isNotNull())
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", up(acc)).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def resolved(link: Column, base: Column) -> Column:
-    """A link against its page's address: absolute, scheme-relative, rooted, or beside the page."""
+    """A link against its page's address: absolute, scheme-relative, rooted, or beside the page; dot segments are followed."""
     scheme, origin = F.regexp_extract(base, "^(https?:)", 1), F.regexp_extract(base, "^(https?://[^/?#]+)", 1)
-    beside = F.concat(origin, F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), "^https?://[^/]+(.*/)", 1))
-    beside = F.when(beside == origin, F.concat(origin, F.lit("/"))).otherwise(beside)
-    return F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).otherwise(F.concat(beside, link))
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), "^https?://[^/]+(.*/)", 1)
+    path, rest = F.regexp_extract(link, "^([^?#]*)", 1), F.regexp_extract(link, "^[^?#]*(.*)$", 1)
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    path = F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _without_dots(path)).otherwise(path)
+    same = F.concat(F.regexp_replace(base, F.when(link.startswith("?"), F.lit("[?#].*$")).otherwise(F.lit("#.*$")), F.lit("")), link)
+    return F.when((link == "") | link.rlike("^[?#]"), same).when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(origin, path, rest))
 
 
 def plausible(url: Column) -> Column:

@@ -168,7 +168,18 @@ def test_page_images_of_lazy_and_rotating_sources(spark):
     df = spark.createDataFrame([(html, "https://h.example.com/r/7?x=1")], "html string, url string")
     urls_of = F.transform(M.image_sources(F.col("html")), lambda s: M.resolved(s, F.col("url")))
     got = df.select(M.one_a_file(F.filter(urls_of, M.plausible)).alias("u")).first().u
-    assert got == ["https://c1.example.com/p/1.jpg", "https://x.example.com/2.PNG?v=1", "https://h.example.com/r/../3.jpg"]
+    assert got == ["https://c1.example.com/p/1.jpg", "https://x.example.com/2.PNG?v=1", "https://h.example.com/3.jpg"]
+
+
+def test_links_against_their_page(spark):
+    from quillon.functions import manifests as M
+
+    base = "https://h.example.com/a/b/c?x=1#y"
+    cases = [("d", "/a/b/d"), ("./d/../e?q=../z", "/a/b/e?q=../z"), ("/x/./y/..", "/x/"), ("../../../../up", "/up"), ("?p=2", "/a/b/c?p=2"), ("#z", "/a/b/c?x=1#z"), ("", "/a/b/c?x=1"), ("/", "/")]
+    df = spark.createDataFrame([(c, base) for c, _ in cases], "link string, base string")
+    assert [r.u for r in df.select(M.resolved(F.col("link"), F.col("base")).alias("u")).collect()] == ["https://h.example.com" + w for _, w in cases]
+    bare = spark.createDataFrame([("x", "http://h")], "link string, base string")
+    assert bare.select(M.resolved(F.col("link"), F.col("base")).alias("u")).first().u == "http://h/x"
 
 
 def test_manifests_that_are_broken_or_odd(spark):
