@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -150,13 +151,15 @@ def sequences(word: str) -> list[str]:
     return [word[:k] for k in PREFIXES if len(word) >= k] + ["=" + word]
 
 
-def surfaces(text: str) -> Counter:
-    """Lower-case surfaces of a text with their counts; spelled-out words are one surface each."""
+def spelled_out(text: str) -> list[str]:
+    """Words of a lower-case text whose letters are set apart."""
+    return [re.sub(r"[ .\-_*]", "", spaced) for spaced in _SPACED.findall(text)]
+
+
+def surfaces(text: str) -> set[str]:
+    """Lower-case surfaces of a text; spelled-out words are one surface each."""
     text = text.lower()
-    found = Counter(text.split())
-    for spaced in _SPACED.findall(text):
-        found[re.sub(r"[ .\-_*]", "", spaced)] += 1
-    return found
+    return {*text.split(), *spelled_out(text)}
 
 
 def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
@@ -174,24 +177,31 @@ class Scorer:
     constant: float | None = None
 
 
-class _Features:
+class _Features(dict):
     """Indices of the chosen sequences by surface, remembered."""
 
     def __init__(self, model: np.ndarray, index: dict[str, int]):
-        self.decoder, self.index, self.known = Decoder(model), index, {}
-
-    def of(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for surface, n in surfaces(text or "").items():
-            own = known.get(surface)
-            if own is None:
-                own = known[surface] = tuple(self.index[s] for s in sequences(self.decoder.restore(surface)) if s in self.index)
-            for f in own:
-                out[f] = out.get(f, 0) + n
-        return out
+        super().__init__()
+        self.decoder, self.index = Decoder(model), index
+        self.begins = {s[: PREFIXES[0]] for s in index if not s.startswith("=")}
+
+    def __missing__(self, surface: str) -> tuple[int, ...]:
+        word = surface if surface.isalpha() else surface.strip(_ENDS)
+        if not word.isalpha() or _DRAWN_OUT.search(word):  # else it stands for itself
+            word = self.decoder.restore(surface)
+        if word[: PREFIXES[0]] in self.begins:
+            own = tuple(self.index[s] for s in sequences(word) if s in self.index)
+        else:  # no longer beginning can be among them either
+            own = (self.index["=" + word],) if "=" + word in self.index else ()
+        self[surface] = own
+        return own
+
+    def of(self, text: str | None) -> Counter:
+        """How often each sequence stands in a text; counted without a loop over its words."""
+        if len(self) > MEMORY:
+            self.clear()
+        text = (text or "").lower()
+        return Counter(chain.from_iterable(map(self.__getitem__, [*text.split(), *spelled_out(text)])))
 
 
 def _chosen(sample: DataFrame, model: np.ndarray) -> list[str]:
