@@ -14,13 +14,13 @@ from tokenizers import Tokenizer
 
 #: Default vocabulary; only its path is used, the file is never copied.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by one worker, some 45 MB; of more, those that were not seen lately are forgotten.
-MEMORY = 200_000
+#: Pieces remembered by one worker, some 90 MB; beyond it the memory starts anew.
+MEMORY = 400_000
 
 # Letters and numbers of Unicode below U+0250, as the splitting pattern's \p{L} and \p{N} take them.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
-_PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+_PIECES = re.compile(f" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 
 
@@ -36,25 +36,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids by piece, in two generations: when the younger is full it becomes the older one, whose pieces return as they are met again."""
+    """Ids by piece."""
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters, self.older = model, _byte_letters(), {}
+        self.ask, self.letters = model.tokenize, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        self[piece] = ids
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self[piece] = array("I", [t.id for t in self.ask(spelled)]).tobytes()
         return ids
 
-    def age(self) -> None:
-        if len(self) > MEMORY // 2:
-            self.older = dict(self)
-            self.clear()
-
 
 class Encoder:
     """encode(text): the ids as little-endian unsigned 32-bit integers.
@@ -73,7 +65,8 @@ class Encoder:
             return b""
         if _OTHER.search(text) or any(a in text for a in self.added):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        self.pieces.age()
+        if len(self.pieces) > MEMORY:
+            self.pieces.clear()
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
 
