@@ -28,7 +28,7 @@ from .common import lean, table, work_path
 INDEX_ROWS = 1000
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids array<int>"
-_FORMAT = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(INDEX_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.compress": "ZSTD"}
+_FORMAT = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(INDEX_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.compress": "LZ4"}
 #: Ids in one Arrow batch on the way to the writer.
 _BATCH_IDS = 2_000_000
 
