@@ -49,8 +49,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         before, since = 0, 0
         ids, starts, lengths, data = [], [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                coded = encode(text.as_py()) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                coded = encode(text) + end
                 ids.append(doc_id)
                 starts.append(before)
                 lengths.append(len(coded) // 4)

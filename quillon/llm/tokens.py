@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 #: Default vocabulary; only its path is used, the file is never copied.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by one worker, some 90 MB; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Pieces remembered by one worker, some 110 MB; beyond it the memory starts anew.
+MEMORY = 600_000
 
 # Letters and numbers of Unicode below U+0250, as the splitting pattern's \p{L} and \p{N} take them.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
