@@ -7,9 +7,8 @@ Tokens inside pattern matches are observed. Loopy sum-product message passing, a
 once, gives the others' labels; those likelier than `SURE`
 that edges join to an observed token are added as spans.
 
-The factors are trained piecewise: each is the smoothed log count ratio of its own configurations, among the tokens of about
-`FIT_DOCS` documents (all, where there are no more; else those whose hash of doc_id and text falls in that share, so that copies
-of one text are sampled like others), labelled by the patterns. The `SHAPES` commonest token shapes have factors of their own.
+The factors are trained piecewise: each is the smoothed log count ratio of its own configurations, among the tokens of all
+documents, labelled by the patterns. The `SHAPES` commonest token shapes have factors of their own.
 
 Defined cases: null and empty texts have no spans; digits of any number are read; repeated rows are each searched; ties between
 kinds go to the one listed first; an empty table gives no rows; a null doc_id is kept; other columns are passed on by find_spans,
@@ -32,8 +31,8 @@ from pyspark.sql.types import StructField, _parse_datatype_string
 from .common import discard, lean, materialise, table, with_column
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the factors are counted on, about; and shapes that are kept.
-FIT_DOCS, SHAPES = 50_000, 10_000
+#: Shapes that have factors of their own, and configurations whose counts a worker holds before it sends them on.
+SHAPES, HELD = 10_000, 50_000
 ROUNDS, SURE = 30, 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -154,11 +153,18 @@ class Field:
     pairs: list  # of chain and skip edges, log factors of two labels
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
+def fit(docs: DataFrame) -> Field:
     """Count the factors' configurations where the patterns say what is personal."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def sums() -> pa.RecordBatch:
+            columns = list(zip(*seen, strict=True)) if seen else [[], [], [], []]
+            out = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(out, ["what", "shape", "l", "r", "n"])
+
         for batch in batches:
             for text in batch.column(0):
                 own = text.as_py() or ""
@@ -166,16 +172,16 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
                     t = tokens_of(own, base_spans(own))
                     seen.update(("u", shape, label, 0) for shape, label in zip(t.shapes, t.labels, strict=True))
                     seen.update(("cs"[skip], "", t.labels[i], t.labels[j]) for i, j, skip in t.edges)
-        columns = list(zip(*seen, strict=True)) if seen else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["what", "shape", "l", "r", "n"])
+                    if len(seen) > HELD:
+                        yield sums()
+        yield sums()
 
-    key = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
-    some = docs.where(F.pmod(key, F.lit(max(docs.count(), 1))) < int(fit_docs)).select("text")
-    counted = materialise(some.mapInArrow(lean(count), "what string, shape string, l int, r int, n bigint").groupBy("what", "shape", "l", "r").agg(F.sum("n").alias("n")), "field")
+    counted = materialise(docs.select("text").mapInArrow(lean(count), "what string, shape string, l int, r int, n bigint").groupBy("what", "shape", "l", "r").agg(F.sum("n").alias("n")), "field")
     by_label = [F.sum(F.when(F.col("l") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(_STATES)]
-    ranked = counted.where("what = 'u'").groupBy("shape").agg(F.sum("n").alias("n"), *by_label).orderBy(F.desc("n"), "shape").limit(SHAPES)
+    unary = counted.where("what = 'u'")
+    ranked = unary.groupBy("shape").agg(F.sum("n").alias("n"), *by_label).orderBy(F.desc("n"), "shape").limit(SHAPES)
     shapes = {r.shape: np.array([r[f"n{k}"] for k in range(_STATES)], float) for r in ranked.collect()}
-    total, pairs = sum(shapes.values(), np.zeros(_STATES)), np.zeros((2, _STATES, _STATES))
+    total, pairs = np.array([n or 0 for n in unary.agg(*by_label).first()], float), np.zeros((2, _STATES, _STATES))
     for r in counted.where("what <> 'u'").collect():  # a row for two labels and a kind of edge
         pairs["cs".index(r.what), r.l, r.r] += r.n
     discard(counted)
@@ -186,8 +192,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
         seen = seen + 0.5
         joint = (seen + seen.T) / (2 * seen.sum())
         factors.append(np.clip(np.log(joint / np.outer(joint.sum(0), joint.sum(1))), -6, 6).tolist())
-    unary = {s: np.log((n + 2 * unseen / unseen.sum()) / (n.sum() + 2)).tolist() for s, n in shapes.items()}
-    return Field(unary, np.log(unseen / unseen.sum()).tolist(), factors)
+    own = {s: np.log((n + 2 * unseen / unseen.sum()) / (n.sum() + 2)).tolist() for s, n in shapes.items()}
+    return Field(own, np.log(unseen / unseen.sum()).tolist(), factors)
 
 
 def marginals(field: Field, shapes: list[str], labels: np.ndarray, edges: np.ndarray) -> np.ndarray:

@@ -6,8 +6,9 @@ price. The cheapest path under channel and language model is the restored word.
 separators are joined to one such word first. Words of plain letters have a single path and stand for themselves.
 
 The scorer is a logistic regression on how often a text's restored words begin with, or are, one of the character sequences
-that tell the labels of the training rows apart most. It is fitted on at most `FIT_ROWS` labelled documents, those with the
-smallest hash of their doc_id, never on held-out ones; the trigram counts cover every text.
+that tell the labels of the training rows apart most. Sequences are counted and weights fitted over all labelled documents but
+held-out ones, trigrams over all texts. The weights are the least point of a convex function; its value and slope at each step are
+sums that tasks make over all rows, so that no rows come to the driver.
 
 Defined cases: null and empty texts get the score of a text without any such word; without usable labels every score is 0;
 several labels of a document count as their largest; null labels are ignored; repeated rows are each scored, but of rows that
@@ -20,27 +21,30 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .common import lean, materialise, table, with_column
+from .common import discard, lean, materialise, table, with_column
 
-#: Labelled documents that the scorer is fitted on, at most.
-FIT_ROWS = 20_000
-#: Character sequences that the scorer weighs, at most, and the least number of fitting documents that have one.
+#: Character sequences that the scorer weighs, at most, and the least number of labelled documents that have one.
 FEATURES, SUPPORT = 1024, 8
 PREFIXES = range(3, 9)
 #: Surfaces whose features one worker remembers; beyond it the memory starts anew.
 MEMORY = 100_000
-#: Distinct sequences whose counts a worker holds before it sends them on; the shuffle adds up what is sent.
-HELD = 50_000
+#: Distinct sequences, and surfaces, whose counts a worker holds before it sends them on; the shuffle adds up what is sent.
+HELD = 100_000
+#: Bits that say which documents may have a label: 4 MB, whatever the input. More labels let more others pass, which the join drops.
+MAYBE = 1 << 25
+#: The largest slope at which the weights are taken as found, and the most steps to there.
+LEVEL, STEPS = 1e-6, 100
 
 # Letters that characters are commonly used in place of.
 _STANDS_FOR = {
@@ -204,33 +208,47 @@ class _Features(dict):
         return Counter(chain.from_iterable(map(self.__getitem__, [*text.split(), *spelled_out(text)])))
 
 
+class _Numbered(dict):
+    """Numbers of the sequences of a surface's word, remembered; names has every sequence's number."""
+
+    def __init__(self, model: np.ndarray):
+        super().__init__()
+        self.decoder, self.names = Decoder(model), {}
+
+    def __missing__(self, surface: str) -> tuple[int, ...]:
+        word = surface if surface.isalpha() else surface.strip(_ENDS)
+        if not word.isalpha() or _DRAWN_OUT.search(word):  # else it stands for itself
+            word = self.decoder.restore(surface)
+        own = self[surface] = tuple([self.names.setdefault(s, len(self.names)) for s in sequences(word)])
+        return own
+
+
 def _chosen(sample: DataFrame, model: np.ndarray) -> list[str]:
     """The sequences whose presence depends most on the label (log-likelihood ratio)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, by, rows = Decoder(model), (Counter(), Counter()), [0, 0]
-        known: dict[str, str] = {}
+        seen, rows, held = _Numbered(model), [0, 0], ([], [])
 
         def sums() -> pa.RecordBatch:
-            names = list(by[0].keys() | by[1].keys())
-            out = [pa.array(names, pa.string()), *(pa.array([own[s] for s in names], pa.int64()) for own in by)]
-            for own in by:
+            names = list(seen.names)
+            by = [np.bincount(np.concatenate([np.zeros(0, np.int64), *own]), minlength=len(names)) for own in held]
+            out = [pa.array(names, pa.string()), *(pa.array(n, pa.int64()) for n in by)]
+            seen.clear()
+            seen.names.clear()
+            for own in held:
                 own.clear()
             return pa.RecordBatch.from_arrays(out, ["s", "n0", "n1"])
 
+        size = 0
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own: set[str] = set()
-                for surface in surfaces(text.as_py() or ""):
-                    if surface not in known:
-                        if len(known) > HELD:
-                            known.clear()
-                        known[surface] = decoder.restore(surface)
-                    own.update(sequences(known[surface]))
-                by[toxic].update(own)
+                own = np.fromiter(chain.from_iterable(map(seen.__getitem__, surfaces(text.as_py() or ""))), np.int64)
+                held[toxic].append(np.unique(own))
                 rows[toxic] += 1
-                if len(by[0]) + len(by[1]) > HELD:
+                size += len(held[toxic][-1])
+                if max(len(seen), len(seen.names), size // 16) > HELD:
                     yield sums()
+                    size = 0
         yield sums()
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([rows[0]], pa.int64()), pa.array([rows[1]], pa.int64())], ["s", "n0", "n1"])
 
@@ -244,18 +262,32 @@ def _chosen(sample: DataFrame, model: np.ndarray) -> list[str]:
 
     p = (F.col("n0") + F.col("n1")) / (t0 + t1)
     ranked = rows.where("s <> ''").where(p < 1).withColumn("g", term(F.col("n0"), t0, p) + term(F.col("n1"), t1, p))
-    return [r.s for r in ranked.orderBy(F.desc("g"), "s").limit(FEATURES).collect()]
+    names = [r.s for r in ranked.orderBy(F.desc("g"), "s").limit(FEATURES).collect()]
+    discard(rows)
+    return names
+
+
+def _maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids, and a few others: a first look at MAYBE bits, so that few texts are shuffled."""
+
+    def place(name: str) -> list[Column]:
+        at = F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(MAYBE))
+        return [F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767))]  # a bitmap has 32768 bits
+
+    bucket, bit = place("doc_id")
+    maps = ids.select(bucket, bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(maps), (bucket == F.col("bucket")) & (F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1), "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, fold: int = 0) -> Scorer:
-    """A scorer learned from labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Scorer:
+    """A scorer learned from all labelled rows outside the held-out fold."""
     model = character_model(docs)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", folds, fold))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # a broadcast of fit_rows ids and labels at most
-    # Of rows that share a doc_id one is learned from, so that the sample has fit_rows rows at most.
-    sample = materialise(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "labelled")
+    own = _maybe_among(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), usable)
+    # Of rows that share a doc_id one is learned from.
+    sample = materialise(own.join(usable, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "labelled")
     names = _chosen(sample, model)
     index = {s: i for i, s in enumerate(names)}
 
@@ -265,29 +297,67 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
             own = [seen.of(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(o) for o in own], pa.list_(pa.int32())), pa.array([list(o.values()) for o in own], pa.list_(pa.int32()))], ["toxic", "f", "n"])
 
-    rows = sample.select("text", "toxic").mapInArrow(lean(features), "toxic int, f array<int>, n array<int>").collect()
-    y = np.array([r.toxic for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return Scorer(model, {}, np.zeros(0), 0.0, float(y[0]) if len(y) else 0.0)
-    row = np.repeat(np.arange(len(rows)), [len(r.f) for r in rows])
-    column = np.fromiter((f for r in rows for f in r.f), np.int64)
-    value = np.log1p(np.fromiter((n for r in rows for n in r.n), float))
-    weights, bias = _logistic(row, column, value, y, len(names))
-    return Scorer(model, index, weights, bias)
-
-
-def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, steps: int = 600, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps; rows in doubles, so the order hardly matters."""
-    w, b = np.zeros(width), math.log(y.mean() / (1 - y.mean()))
-    first, second = np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, value * w[column], len(y)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(column, value * error[row], width) + ridge * w, error.sum())
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        step = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+    rows = materialise(sample.select("text", "toxic").mapInArrow(lean(features), "toxic int, f array<int>, n array<int>"), "features")
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    scorer = Scorer(model, {}, np.zeros(0), 0.0, float(ones > 0)) if ones in (0, n) else Scorer(model, index, *_logistic(rows, n, ones, len(names)))
+    discard(sample, rows)
+    return scorer
+
+
+def _loss(batch: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+    """Summed loss of a batch (toxic, f, n) at weights with the bias behind them, and behind the sum its slope."""
+    y = batch.column(0).to_numpy().astype(float)
+    row = np.repeat(np.arange(len(y)), pa.compute.list_value_length(batch.column(1)).to_numpy())
+    column, value = batch.column(1).flatten().to_numpy(), np.log1p(batch.column(2).flatten().to_numpy())
+    z = np.bincount(row, value * at[column], len(y)) + at[-1]
+    error = np.exp(-np.logaddexp(0, -z)) - y
+    return np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], np.bincount(column, value * error[row], len(at) - 1), [error.sum()]])
+
+
+def _logistic(rows: DataFrame, n: int, ones: int, width: int, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression over all rows (toxic, f, n)."""
+    weigh = np.append(np.full(width, ridge), 0.0)
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((_loss(batch, at) for batch in batches), np.zeros(width + 2))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        parts = rows.mapInArrow(run, "sums binary").collect()  # 8 KB a task
+        sums = sum(np.frombuffer(r.sums) for r in parts) / n
+        return sums[0] + (weigh * at * at).sum() / 2, sums[1:] + weigh * at
+
+    found = _least(loss, np.append(np.zeros(width), math.log(ones / (n - ones))))
+    return found[:-1], float(found[-1])
+
+
+def _least(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, level: float = LEVEL, steps: int = STEPS) -> np.ndarray:
+    """The least point of a convex function, which gives its value and slope, by L-BFGS with halved steps."""
+    value, slope = loss(at)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []  # of the last steps, with the changes of the slope
+    for _ in range(steps):
+        if np.abs(slope).max() <= level:
+            break
+        way, shares = slope, []
+        for move, change in reversed(moves):
+            shares.append(move @ way / (move @ change))
+            way = way - shares[-1] * change
+        if moves:
+            way = way * (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1])
+        for (move, change), share in zip(moves, reversed(shares), strict=True):
+            way = way + move * (share - change @ way / (move @ change))
+        step = 1.0
+        there = loss(at - way)
+        while there[0] > value - 1e-4 * step * (slope @ way) and step > 1e-6:
+            step /= 2
+            there = loss(at - step * way)
+        if there[0] > value:  # no better within doubles
+            break
+        moves = [*moves[-19:], (-step * way, there[1] - slope)]
+        if moves[-1][0] @ moves[-1][1] <= 0:
+            moves.pop()
+        at, (value, slope) = at - step * way, there
+    return at
 
 
 def score(docs: DataFrame, scorer: Scorer, into: str = "score") -> DataFrame:
