@@ -12,16 +12,16 @@ ELEMENT, KEEP, EMPTYISH = T.ELEMENT, T.KEEP, T.EMPTYISH
 
 
 def attribute(attrs: Column, name: str) -> Column:
-    return F.regexp_extract(attrs, rf'(?i)\b{name}\s*=\s*"([^"]*)"', 1)
+    return F.regexp_extract(attrs, T.bounded(rf'(?i)\b{name}\s*=\s*"([^"]*)"'), 1)
 
 
 def _elements(df: DataFrame, text: str, pattern: str) -> DataFrame:
     """df without text, one row an element: pos, attrs and content."""
     rest = [c for c in df.columns if c != text]
-    e = df.select(*rest, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "e"))
+    e = df.select(*rest, F.posexplode(F.regexp_extract_all(text, F.lit(T.bounded(pattern)), F.lit(0))).alias("pos", "e"))
     name = F.regexp_extract("e", "^<([a-zA-Z]+)", 1)
-    e = e.withColumn("attrs", F.regexp_extract("e", r"^<[a-zA-Z]+\b([^>]*?)/?>", 1))
-    return e.withColumn("content", F.trim(F.regexp_replace(F.regexp_replace("e", r"^<[a-zA-Z]+\b[^>]*>", ""), F.concat(F.lit("(?i)</"), name, F.lit(r"\b[^>]*>$")), ""))).drop("e")
+    e = e.withColumn("attrs", F.regexp_extract("e", T.bounded(r"^<[a-zA-Z]+\b([^>]*?)/?>"), 1))
+    return e.withColumn("content", F.trim(F.regexp_replace(F.regexp_replace("e", T.bounded(r"^<[a-zA-Z]+\b[^>]*>"), ""), F.concat(F.lit("(?i)</"), name, F.lit(T.bounded(r"\b[^>]*>$"))), ""))).drop("e")
 
 
 def _given(name: str) -> Column:
