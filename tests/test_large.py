@@ -27,3 +27,16 @@ def test_words_end_before_other_letters(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got, want = rows_of(spark, "transcriptions", tmp_path)
     assert got == want
+
+
+def test_dice_links_in_passes_over_chunks(spark, tmp_path, monkeypatch):
+    from quillon.operators import identity
+
+    rows = [(i, "".join(chr(97 + (i // 6 * 7 + k * (1 + i // 6)) % 26) for k in range(14 + i % 6)) + "xyz"[: i % 3], "en") for i in range(48)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    # Chunks of few texts, and sizes with more texts than a chunk holds; no text is shuffled to meet others.
+    monkeypatch.setattr(identity, "CHUNK_TEXTS", 3)
+    monkeypatch.setattr(identity, "LISTED_SHARE", 2)
+    assert any(parts > 1 for _, _, parts in identity._chunks([(14, 7), (15, 2), (16, 1)]))
+    got, want = rows_of(spark, "dice_links", tmp_path)
+    assert got == want and sum(r[1] for r in want) > 0
