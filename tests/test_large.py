@@ -40,3 +40,25 @@ def test_dice_links_in_passes_over_chunks(spark, tmp_path, monkeypatch):
     assert any(parts > 1 for _, _, parts in identity._chunks([(14, 7), (15, 2), (16, 1)]))
     got, want = rows_of(spark, "dice_links", tmp_path)
     assert got == want and sum(r[1] for r in want) > 0
+
+
+def test_hashes_a_few_bits_apart_meet_in_few_keys(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillon.functions import images as I
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(400):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), i % (I.MOST_BITS + 1)):
+            b ^= 1 << bit
+        rows.append((i, *(x - (x >> 63 << 64) for x in (a, b))))
+    df = spark.createDataFrame(rows, "i int, a bigint, b bigint")
+    assert df.where(F.arrays_overlap(I.parts(F.col("a")), I.near_parts(F.col("b")))).count() == len(rows)
+    # Of two hashes of different pictures one in a hundred meets; with nine bands of seven bits one in fourteen did.
+    a, b = df.select("i", F.explode(I.parts(F.col("a"))).alias("key")), df.select(F.col("i").alias("j"), F.explode(I.near_parts(F.col("b"))).alias("key"))
+    assert a.join(b, "key").where("i <> j").count() < 400 * 399 / 60
