@@ -62,3 +62,10 @@ def test_hashes_a_few_bits_apart_meet_in_few_keys(spark):
     # Of two hashes of different pictures one in a hundred meets; with nine bands of seven bits one in fourteen did.
     a, b = df.select("i", F.explode(I.parts(F.col("a"))).alias("key")), df.select(F.col("i").alias("j"), F.explode(I.near_parts(F.col("b"))).alias("key"))
     assert a.join(b, "key").where("i <> j").count() < 400 * 399 / 60
+
+
+def test_tasks_get_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    from quillon.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 13)  # as if the table were larger
+    assert tables.boxes(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
