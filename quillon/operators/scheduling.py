@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import rules as L
-from quillon.sources.tables import table
+from quillon.sources.tables import by_key, table
 
 #: Pages that are fetched ahead, failures that a reader remembers, the wait after a refusal in seconds.
 AHEAD, REMEMBERED, WAIT = 3, 20, 45
@@ -41,14 +41,13 @@ SELECT user_id, event_id, result, CASE WHEN stands THEN CAST(row_number() OVER (
 
 def prefetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each order to fetch ahead: behind the reader, not on screen, not owned by a job or its twin, not parked, as many as the budget leaves."""
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_returnflag", "l_linestatus")
+    p = by_key(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_returnflag", "l_linestatus")
     url = F.concat(F.lit("https://h"), (F.col("s") % 3).cast("string"), F.lit(".example.com/"), F.col("p").cast("string"))
-    p = p.withColumn("url", url)
-    owned = p.where("l_returnflag = 'R' AND n <= 2").select("o", F.regexp_extract("url", "^https://[^/]+(/.*)$", 1).alias("path")).distinct()
-    parked = p.where("l_linestatus = 'F' AND n = 3").select("o", "url").distinct()
-    shown = p.where("n = 1").select("o", "url").distinct()
-    left = p.where("n > 1").withColumn("path", F.regexp_extract("url", "^https://[^/]+(/.*)$", 1)).join(owned, ["o", "path"], "left_anti").join(parked, ["o", "url"], "left_anti").join(shown, ["o", "url"], "left_anti")
-    first = left.groupBy("o", "url").agg(F.min("n").alias("n"))
+    p = p.withColumn("url", url).withColumn("path", F.regexp_extract("url", "^https://[^/]+(/.*)$", 1))
+    some = lambda c: F.coalesce(F.max(c & F.col("url").isNotNull()), F.lit(False))
+    p = p.withColumn("owned", F.coalesce(F.max(F.expr("l_returnflag = 'R' AND n <= 2 AND url IS NOT NULL")).over(Window.partitionBy("o", "path")), F.lit(False)))
+    parked, shown = F.expr("l_linestatus = 'F' AND n = 3"), F.col("n") == 1
+    first = p.groupBy("o", "url").agg(F.min(F.when(F.col("n") > 1, F.col("n"))).alias("n"), (some(F.col("owned")) | some(parked) | some(shown)).alias("out")).where("n IS NOT NULL AND NOT out").drop("out")
     budget = F.greatest(F.lit(0), F.lit(AHEAD) - F.col("o") % 3)
     return first.withColumn("k", F.row_number().over(Window.partitionBy("o").orderBy("n", "url"))).where(F.col("k") <= budget).select("o", "url", "n", "k")
 
