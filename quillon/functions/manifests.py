@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -90,11 +91,22 @@ def hash_files(script: Column) -> Column:
 def routing(script: Column) -> Column:
     """build, usual, other and slots of a routing script; null unless it is written exactly so and its cases are distinct."""
     compact = F.regexp_replace(script, r"\s+", "")
-    part = lambda k: F.regexp_extract(compact, ROUTING, k)
-    slots = F.transform(F.regexp_extract_all(part(2), F.lit("case([0-9]+):"), F.lit(1)), lambda s: s.cast("int"))
-    sound = compact.rlike(ROUTING) & (part(1) != part(3)) & F.forall(slots, lambda s: s < SLOTS) & (F.size(F.array_distinct(slots)) == F.size(slots))
-    shard = lambda k: part(k).try_cast("int") + 1
-    return F.when(sound, F.struct(part(4).alias("build"), shard(1).alias("usual"), shard(3).alias("other"), slots.alias("slots")))
+    written = F.when(compact.rlike(ROUTING), F.array(*[F.regexp_extract(compact, ROUTING, k) for k in (1, 2, 3, 4)]))
+
+    def read(p: Column) -> Column:
+        def known(slots: Column) -> Column:
+            sound = p.isNotNull() & (p[0] != p[2]) & F.forall(slots, lambda s: s < SLOTS) & (F.size(F.array_distinct(slots)) == F.size(slots))
+            shard = lambda k: p[k].try_cast("int") + 1
+            return F.when(sound, F.struct(p[3].alias("build"), shard(0).alias("usual"), shard(2).alias("other"), slots.alias("slots")))
+
+        return _once(F.transform(F.regexp_extract_all(p[1], F.lit("case([0-9]+):"), F.lit(1)), lambda s: s.cast("int")), known)
+
+    return _once(written, read)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def slot(file_hash: Column) -> Column:
@@ -104,18 +116,31 @@ def slot(file_hash: Column) -> Column:
 
 def hash_urls(files: Column, sample: Column, route: Column) -> Column:
     """(url, alt) of every file, after the address of a displayed page; the route counts only if it agrees with that page."""
-    part = lambda k: F.regexp_extract(sample, SAMPLE, k)
-    fits = sample.rlike(SAMPLE) & ((part(1) == "a") == (part(8) == "avif"))
     shard = lambda r, s: F.when(F.array_contains(r["slots"], s), r["other"]).otherwise(r["usual"])
-    trusted = F.coalesce((route["build"] == part(5)) & (shard(route, slot(part(7))).cast("string") == part(2)), F.lit(False))
 
-    def one(f: Column) -> Column:
-        s, kind = slot(f["hash"]), F.when(f["avif"], "avif").otherwise("webp")
-        number = F.when(trusted, shard(route, s)).otherwise(part(2).try_cast("int"))
-        url = lambda n: F.concat(F.lit("https://"), F.when(f["avif"], "a").otherwise("w"), n.cast("string"), F.lit("."), part(3), part(4), F.lit("/"), part(5), F.lit("/"), s.cast("string"), F.lit("/"), f["hash"], F.lit("."), kind)
-        return F.struct(url(number).alias("url"), url(F.when(number == 1, 2).otherwise(1)).alias("alt"))
+    def listed(page: Column) -> Column:
+        def one(f: Column) -> Column:
+            s, kind = slot(f["hash"]), F.when(f["avif"], "avif").otherwise("webp")
+            number = F.when(page["trusted"], shard(page["route"], s)).otherwise(page["shard"])
+
+            def urls(n: Column) -> Column:
+                before, behind = F.concat(F.lit("https://"), F.when(f["avif"], "a").otherwise("w")), F.concat(page["host"], s.cast("string"), F.lit("/"), f["hash"], F.lit("."), kind)
+                return F.struct(F.concat(before, n.cast("string"), behind).alias("url"), F.concat(before, F.when(n == 1, 2).otherwise(1).cast("string"), behind).alias("alt"))
+
+            return _once(number, urls)
+
+        return F.when(page["fits"], F.transform(page["files"], one))
+
+    def placed(p: Column) -> Column:
+        part = lambda k: p["parts"][k - 1]
+        trusted = F.coalesce((p["route"]["build"] == part(5)) & (shard(p["route"], slot(part(7))).cast("string") == part(2)), F.lit(False))
+        fits = p["like"] & ((part(1) == "a") == (part(8) == "avif"))
+        host = F.concat(F.lit("."), part(3), part(4), F.lit("/"), part(5), F.lit("/"))
+        return F.struct(p["files"].alias("files"), p["route"].alias("route"), trusted.alias("trusted"), fits.alias("fits"), part(2).try_cast("int").alias("shard"), host.alias("host"))
 
-    return F.when(fits, F.transform(files, one))
+    parts = F.array(*[F.regexp_extract(sample, SAMPLE, k) for k in range(1, 9)])
+    known = F.struct(parts.alias("parts"), sample.rlike(SAMPLE).alias("like"), route.alias("route"), files.alias("files"))
+    return _once(_once(known, placed), listed)
 
 
 def puzzle_tiles(width: Column, height: Column) -> Column:
