@@ -23,7 +23,7 @@ def page_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
         panels = [(x1, y1, x1 + 3 * (x2 - x1), y1 + 4 * (y2 - y1)) for k, (x1, y1, x2, y2) in enumerate(rects) if k % 3 == 0]
         return [(page[0]["page_id"], page[i]["pos"], rank) for rank, i in enumerate(B.page_order(rects, panels, PAGE))]
 
-    return map_groups(boxes(spark, sf_dir), "page_id", ["pos"], run, "page_id bigint, pos int, rank int")
+    return map_groups(boxes(spark, sf_dir), "page_id", ["pos"], run, "page_id bigint, pos int, rank int", dealt=True)
 
 
 def block_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def block_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = [s for part in B.split(outer, rects, 14.0) for s in B.specks(part, [b for b in rects if b not in dust], dust)]
         return [(page[0]["page_id"], k, *map(float, part), len(strokes[1]) if strokes else 0) for k, part in enumerate(parts)]
 
-    return map_groups(boxes(spark, sf_dir), "page_id", ["pos"], run, "page_id bigint, part int, x1 double, y1 double, x2 double, y2 double, n_strokes int")
+    return map_groups(boxes(spark, sf_dir), "page_id", ["pos"], run, "page_id bigint, part int, x1 double, y1 double, x2 double, y2 double, n_strokes int", dealt=True)
 
 
 def tile_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def tile_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
         tiled = [(b["pos"] % 2, r, b["conf"]) for b, r in zip(page, _rects(page), strict=True)]
         return [(page[0]["page_id"], k, *map(float, r), sure) for k, (r, sure) in enumerate(B.merged_tiles(tiled))]
 
-    return map_groups(boxes(spark, sf_dir), "page_id", ["pos"], run, "page_id bigint, n int, x1 double, y1 double, x2 double, y2 double, conf double")
+    return map_groups(boxes(spark, sf_dir), "page_id", ["pos"], run, "page_id bigint, n int, x1 double, y1 double, x2 double, y2 double, conf double", dealt=True)
 
 
 QUERIES = {"page_reading": page_reading, "block_splits": block_splits, "tile_merges": tile_merges}
